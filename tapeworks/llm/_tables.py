@@ -46,13 +46,14 @@ def scan_texts(
     make: Callable[[], Callable[[pa.RecordBatch], dict]],
     keep: list[str] | None = None,
     limit: int = 4 << 20,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per row of ``frame`` new columns, found from slices of bounded text size.
 
     ``make`` runs once in a task and gives a function from a slice to the new columns (by
     name; Arrow arrays, one value a row). With the key ``None`` the function gives a list of
     kept row numbers instead of all. Columns of ``frame`` in ``keep`` (None: all) stay, but
-    one whose name a new column has is replaced.
+    one whose name a new column has is replaced; those in ``also`` are read besides.
     """
     fields = list(fields)
     new = {f.name for f in fields}
@@ -70,5 +71,7 @@ def scan_texts(
                     columns = [c.take(pa.array(rows, pa.int64())) for c in columns]
                 yield pa.RecordBatch.from_arrays([*columns, *(out[f.name] for f in fields)], names=[*kept, *(f.name for f in fields)])
 
-    needed = list(dict.fromkeys([*kept, text]))
-    return frame.select(*[f"`{c}`" for c in needed]).mapInArrow(run, schema)
+    needed = list(dict.fromkeys([*kept, text, *also]))
+    order = list(dict.fromkeys([*(frame.columns if keep is None else keep), *(f.name for f in fields)]))
+    out = frame.select(*[f"`{c}`" for c in needed]).mapInArrow(run, schema)
+    return out if order == out.columns else out.select(*[f"`{c}`" for c in order])

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.llm import token_store
+from tapeworks.llm import decontaminate, repeats, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_repeats": repeats.op2_repeats,
         "op3_token_store": token_store.op3_token_store,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
     }
 
 
