@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.llm import decontaminate, repeats, token_store
+from tapeworks.llm import decontaminate, mixing, repeats, shards, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_repeats": repeats.op2_repeats,
         "op3_token_store": token_store.op3_token_store,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op9_shards": shards.op9_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": mixing.OP1_SQL}
