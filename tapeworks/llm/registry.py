@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.llm import decontaminate, mixing, repeats, shards, token_store
+from tapeworks.llm import decontaminate, fingerprints, mixing, repeats, shards, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_repeats": repeats.op2_repeats,
         "op3_token_store": token_store.op3_token_store,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_fingerprints": fingerprints.op7_fingerprints,
         "op9_shards": shards.op9_shards,
     }
 
