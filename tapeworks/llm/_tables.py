@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -35,6 +36,13 @@ def stored(frame: DataFrame, name: str = "cut") -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps deleted now: Spark does it once the driver's
+    collector has found their frames unreachable, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -132,34 +132,43 @@ class ShardStore:
             names = [f"{prefix}/__batch={k}" for k in range(batches)]
         return self._commit(base, self.runs(base) + self._measured(names))
 
-    def plan(self, runs: list[Run]) -> list[list[Run]]:
-        """Groups of runs to merge: each tier that has ``fanout`` runs or more."""
+    def plan(self, runs: list[Run]) -> list[Run]:
+        """The runs to merge next: the first ``fanout`` of the lowest tier that has as many."""
         tiers: dict[int, list[Run]] = {}
         for r in runs:
             tiers.setdefault(r.tier(self.fanout), []).append(r)
-        return [same for _, same in sorted(tiers.items()) if len(same) >= self.fanout]
-
-    def compact(self) -> int:
-        """Merge until no tier is full; each round of merges is one commit. The last version."""
-        while groups := self.plan(self.runs(base := self._last())):
-            gone = {r.name for g in groups for r in g}
-            made = []
-            for group in groups:
-                name = f"m{uuid.uuid4().hex}"
-                files = max(1, round(sum(r.bytes for r in group) / self.target))
-                order = [F.col(self.key).asc_nulls_first(), F.xxhash64(self.text)]
-                merged = self._read(group).repartitionByRange(files, *order).sortWithinPartitions(*order)
-                merged.write.parquet(f"{self.root}/runs/{name}")
-                made += self._measured([name])
-            self._commit(base, [r for r in self.runs(base) if r.name not in gone] + made)
+        return next((same[: self.fanout] for _, same in sorted(tiers.items()) if len(same) >= self.fanout), [])
+
+    def compact(self, clean: bool = False) -> int:
+        """Merge until no tier is full; each merge is one commit. The last version.
+
+        ``clean``: after each commit merged runs and what the merge left in shuffles go, so
+        the space that compaction needs is that of one merge."""
+        while group := self.plan(runs := self.runs(base := self._last())):
+            gone, name = {r.name for r in group}, f"m{uuid.uuid4().hex}"
+            files = max(1, round(sum(r.bytes for r in group) / self.target))
+            order = [F.col(self.key).asc_nulls_first(), F.xxhash64(self.text)]
+            merged = self._read(group).repartitionByRange(files, *order).sortWithinPartitions(*order)
+            merged.write.parquet(f"{self.root}/runs/{name}")
+            self._commit(base, [r for r in runs if r.name not in gone] + self._measured([name]))
+            if clean:
+                del merged
+                self.vacuum()
+                _tables.release_shuffles(self.spark)
         return self._last()
 
     def vacuum(self, keep: int = 1) -> None:
         """Delete runs that none of the last ``keep`` versions lists."""
-        kept = {r.name.split("/")[0] for v in self.versions()[-keep:] for r in self.runs(v)}
+        kept = {r.name for v in self.versions()[-keep:] for r in self.runs(v)}
+        parents = {name.split("/")[0] for name in kept}
         for s in self._fs.listStatus(self._path(f"{self.root}/runs")):
-            if s.getPath().getName() not in kept:
+            name = s.getPath().getName()
+            if name not in parents:
                 self._fs.delete(s.getPath(), True)
+            elif name not in kept:  # batches of one append
+                for part in self._fs.listStatus(s.getPath()):
+                    if f"{name}/{part.getPath().getName()}" not in kept:
+                        self._fs.delete(part.getPath(), True)
 
     def read(self, version: int | None = None) -> DataFrame:
         return self._read(self.runs(version))
@@ -179,6 +188,5 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _tables.table(spark, sf_dir, "documents")
     store = ShardStore(spark, _tables.fresh_path(spark, "shards"), docs.schema)
     store.append(docs.withColumn("__arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))), "__arrival", ARRIVALS)
-    version = store.compact()
-    store.vacuum()
+    version = store.compact(clean=True)
     return store.located(version).withColumn("manifest_version", F.lit(version).cast("long"))

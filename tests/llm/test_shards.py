@@ -19,6 +19,7 @@ def test_compaction_keeps_every_row(spark, documents):
     before = s.runs()
     assert len(before) == 7 and sum(r.rows for r in before) == documents.count()
     version = s.compact()
+    assert rows(s.read(8)) == rows(documents)
     assert version > 7 and len(s.runs()) < 7 and not s.plan(s.runs())
     assert rows(s.read()) == rows(documents)
     assert rows(s.read(7)) == rows(documents)
