@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.llm import decontaminate, fingerprints, mixing, repeats, shards, token_store, toxicity
+from tapeworks.llm import decontaminate, fingerprints, mixing, ngram_join, repeats, shards, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": mixing.op1_mixing,
         "op2_repeats": repeats.op2_repeats,
         "op3_token_store": token_store.op3_token_store,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_fingerprints": fingerprints.op7_fingerprints,
