@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.llm import decontaminate, fingerprints, mixing, ngram_join, repeats, shards, token_store, toxicity
+from tapeworks.llm import decontaminate, fingerprints, mixing, ngram_join, ngram_lm, repeats, shards, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op9_shards": shards.op9_shards,
+        "op10_ngram_lm": ngram_lm.op10_ngram_lm,
     }
 
 
