@@ -24,8 +24,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeworks.llm import _tables, _words, repeats
 from tapeworks.llm.components import components
@@ -169,10 +170,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= whole * percent).select("a", "b")
 
 
-def jaccard_components(
-    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS, text: str = "text", doc_id: str = "doc_id", bloom_bits: int = repeats.BLOOM_BITS
-) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id."""
+def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, text: str, doc_id: str, bloom_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows; and of each class its key, least doc_id and component's label."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
     sig = _tables.stored(signatures(docs, shingle, percent), "signatures")
@@ -223,6 +222,14 @@ def jaccard_components(
     check(pairs.select(F.col("x.key").alias("k1"), F.col("y.key").alias("k2")))
 
     classes = least.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
+    return sig, classes
+
+
+def jaccard_components(
+    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS, text: str = "text", doc_id: str = "doc_id", bloom_bits: int = repeats.BLOOM_BITS
+) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id."""
+    sig, classes = jaccard_classes(docs, shingle, percent, rounds, text, doc_id, bloom_bits)
     firsts = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = classes.join(firsts, "label").select("key", "component_id")
     result = sig.select("doc_id", "n", "key").join(named, "key", "left")
@@ -230,5 +237,28 @@ def jaccard_components(
     return result.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def keep_one(
+    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS, text: str = "text", doc_id: str = "doc_id", bloom_bits: int = repeats.BLOOM_BITS
+) -> DataFrame:
+    """One row of each component, with all columns: the least doc_id's, of equal ids the least
+    text's. Rows without words all stay."""
+    _, classes = jaccard_classes(docs, shingle, percent, rounds, text, doc_id, bloom_bits)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")
+    winners = classes.groupBy("label").agg(first).select(F.col("m.doc_id").alias("__first"), F.col("m.key").alias("__winner"))
+
+    def make():
+        def kernel(part: pa.RecordBatch) -> dict:
+            keys, doc, n = _sets(part.column(part.schema.get_field_index(text)), shingle)
+            return {"__key": pa.array(_binary(_class_keys(keys, doc, len(n))), pa.binary()), "__n": pa.array(n, pa.int64())}
+
+        return kernel
+
+    keyed = _tables.scan_texts(docs, text, [T.StructField("__key", T.BinaryType()), T.StructField("__n", T.LongType())], make)
+    mine = keyed.where("__n > 0").join(winners, (F.col("__key") == F.col("__winner")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__first")))
+    one = Window.partitionBy("__winner", "__first").orderBy(text)
+    mine = mine.withColumn("__r", F.row_number().over(one)).where("__r = 1")
+    return keyed.where("__n = 0").select(docs.columns).unionByName(mine.select(docs.columns))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_tables.table(spark, sf_dir, "documents"))

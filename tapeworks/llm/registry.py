@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tapeworks.llm import decontaminate, fingerprints, mixing, ngram_join, ngram_lm, repeats, shards, token_store, toxicity
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op9_shards": shards.op9_shards,
         "op10_ngram_lm": ngram_lm.op10_ngram_lm,
+        "pipeline": corpus_pipeline.run,
     }
 
 

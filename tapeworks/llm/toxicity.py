@@ -261,3 +261,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _tables.table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
     model = fit(docs, labels)
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows that are not predicted toxic, with their own columns alone."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        scorer = Scorer(held.value)
+        return lambda part: {None: np.flatnonzero(scorer.scores(part.column(part.schema.get_field_index(text))) < PREDICT_AT)}
+
+    return _tables.scan_texts(docs, text, [], make, limit=2 << 20)

@@ -83,3 +83,17 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(20)] + [(30, 31), (40, 40), (50, 20)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{k: 0 for k in range(21)}, 50: 0, 30: 30, 31: 30}
+
+
+def test_keep_one(spark, frame):
+    rows = near(7, bases=3, copies=12) + [(None, "x y z w"), (900, "x y z w"), (901, "P q r s"), (901, "p Q r s"), (902, None), (902, None), (None, "only here now then")]
+    kept = sorted(((r.doc_id, r.text) for r in J.keep_one(frame(rows)).collect()), key=str)
+    comps = brute(rows)
+    want, seen = [], set()
+    for (d, t), (_, n, c) in sorted(zip(rows, comps), key=lambda x: (x[0][0] is None, x[0][0] or 0, x[0][1] or "")):
+        mark = (c, None) if n and c is not None else (None, t)
+        if n == 0 or mark not in seen:
+            want.append((d, t))
+        if n:
+            seen.add(mark)
+    assert kept == sorted(want, key=str)
