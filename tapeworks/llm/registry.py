@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tapeworks.llm import decontaminate, fingerprints, mixing, ngram_join, ngram_lm, repeats, shards, token_store, toxicity
+from tapeworks.llm import decontaminate, fingerprints, mixing, ngram_join, ngram_lm, repeats, shards, token_store, toxicity, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_fingerprints": fingerprints.op7_fingerprints,
+        "op8_main_text": wrappers.op8_main_text,
         "op9_shards": shards.op9_shards,
         "op10_ngram_lm": ngram_lm.op10_ngram_lm,
         "pipeline": corpus_pipeline.run,
