@@ -1,4 +1,4 @@
-"""All registered queries of the reference's own operators, by name, with their SQL."""
+"""All registered queries of the engine's own operators, by name, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapeworks.plans import analytics
+
+ALL = dict(analytics.QUERIES)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql is not None}
