@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.plans import analytics
+from tapeworks.plans import analytics, books, research, series
 
-ALL = dict(analytics.QUERIES)
+ALL = analytics.QUERIES | series.QUERIES | books.QUERIES | research.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
