@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.plans import analytics, books, research, series
+from tapeworks.plans import analytics, books, research, series, simulation
 
-ALL = analytics.QUERIES | series.QUERIES | books.QUERIES | research.QUERIES
+ALL = analytics.QUERIES | series.QUERIES | books.QUERIES | research.QUERIES | simulation.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
