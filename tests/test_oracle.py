@@ -9,7 +9,7 @@ import pytest
 
 from tapeworks import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
