@@ -12,7 +12,8 @@ model, calibrated on texts that the dictionaries of its fold have not seen, turn
 Equal windows are compressed once in a while: lengths are kept by their hash.
 
 Learning takes at most ``FIT_ROWS`` labelled rows of either class, those of the least md5 of doc_id
-(a documented bound: the sample doesn't grow with the corpus); every text is scored whole. Null and
+(a documented bound: the sample doesn't grow with the corpus), and moves the scores to the share of
+toxic rows among all labelled ones; every text is scored whole. Null and
 empty texts score as texts without windows. A label that is null or not 0 or 1 is not used; of
 several labels for a document each counts. Without both classes the score is the base rate of what
 there is (0 if nothing is labelled). Repeats score alike; columns named like new ones are replaced.
@@ -204,10 +205,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def learn(rows: list[tuple[str | None, int]], folds: int = 3) -> Model:
-    """rows: (text, label) in a fixed order."""
+def learn(rows: list[tuple[str | None, int]], folds: int = 3, share: float | None = None) -> Model:
+    """rows: (text, label) in a fixed order. share: of toxic rows where these were sampled from;
+    scores are moved to it from the sample's own."""
     labels = np.array([y for _, y in rows], dtype=np.float64)
     base = float(labels.mean()) if len(rows) else 0.0
+    share = base if share is None or not 0 < share < 1 else share
     if len(set(labels.tolist())) < 2:
         return Model(b"", b"", (), base)
     rank = {0: 0, 1: 0}
@@ -223,7 +226,9 @@ def learn(rows: list[tuple[str | None, int]], folds: int = 3) -> Model:
         if len(mine):
             found[mine] = scorer.features(pa.array([rows[k][0] for k in mine], pa.string()))
     ordinary, toxic = dictionaries(of(fold >= 0, 1), of(fold >= 0, 0))
-    return Model(ordinary, toxic, tuple(_logistic(found, labels).tolist()), base)
+    weights = _logistic(found, labels)
+    weights[0] += np.log(share / (1 - share)) - np.log(base / (1 - base))
+    return Model(ordinary, toxic, tuple(weights.tolist()), base)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", rows: int = FIT_ROWS) -> Model:
@@ -232,7 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     parts = [known.where(F.col("__y") == y).withColumn("__k", F.md5(F.col("__id").cast("string"))).orderBy("__k", "__id").limit(rows) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # twice ``rows`` at most
     found = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("t")).join(chosen, "__id").select("t", "__y", F.md5(F.col("__id").cast("string")).alias("k"))
-    return learn([(r["t"], r["__y"]) for r in sorted(found.collect(), key=lambda r: (r["k"], r["t"] or "", r["__y"]))])
+    n = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}  # two rows
+    share = n.get(1, 0) / max(sum(n.values()), 1)
+    return learn([(r["t"], r["__y"]) for r in sorted(found.collect(), key=lambda r: (r["k"], r["t"] or "", r["__y"]))], share=share)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -248,7 +255,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return kernel
 
-    return _tables.scan_texts(docs, text, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make, limit=2 << 20)
+    return _tables.scan_texts(docs, text, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -271,4 +278,4 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         scorer = Scorer(held.value)
         return lambda part: {None: np.flatnonzero(scorer.scores(part.column(part.schema.get_field_index(text))) < PREDICT_AT)}
 
-    return _tables.scan_texts(docs, text, [], make, limit=2 << 20)
+    return _tables.scan_texts(docs, text, [], make)
