@@ -151,6 +151,36 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int, bloom_bits: in
     return source.mapInArrow(run, "key binary, set array<long>")
 
 
+def _live_rows(sig: DataFrame, bloom_bits: int) -> DataFrame:
+    """A row for each class and prefix token that two documents have: token, key, n, n_index,
+    bins, place. Which tokens these are goes to the tasks as a Bloom filter while they are few
+    enough (a token let through by mistake pairs with nothing), else they are joined."""
+    spark, filled = sig.sparkSession, sig.where("n > 0")
+    shared = _tables.stored(filled.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1").select("token"), "shared-tokens")
+    _tables.release_shuffles(spark)
+    names = ["key", "n", "n_index", "bins"]
+    if shared.count() * 10 > 1 << bloom_bits:
+        rows = filled.select(*names, F.posexplode("tokens").alias("place", "token")).join(shared, "token")
+        return rows.select("token", *names, "place").dropDuplicates(["key", "token"])
+    known = spark.sparkContext.broadcast(repeats._bloom(shared, bloom_bits))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(4)
+            tokens = lists.flatten().to_numpy().view(np.uint64)
+            n = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+            hit = np.flatnonzero(repeats._in_bloom(tokens, known.value, bloom_bits))
+            mine = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens[hit].view(np.int64)), *[batch.column(k).take(mine) for k in range(4)], pa.array(place[hit].astype(np.int32))], names=["token", *names, "place"]
+            )
+
+    found = filled.select(*names, "tokens").mapInArrow(run, "token long, key binary, n long, n_index int, bins array<int>, place int")
+    return found.dropDuplicates(["key", "token"])
+
+
 def _filters(x: str, y: str, percent: int) -> Column:
     """Length, positional and suffix filters of two prefix rows with one token."""
     c = lambda side, name: F.col(f"{side}.{name}")
@@ -176,17 +206,9 @@ def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, te
     spark = docs.sparkSession
     sig = _tables.stored(signatures(docs, shingle, percent), "signatures")
     _tables.release_shuffles(spark)
-    filled = sig.where("n > 0")
-    least = filled.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    # one row with tokens for each class: any of its rows has the same
-    one = filled.groupBy("key", "n", "n_index").agg(F.first("tokens").alias("tokens"), F.first("bins").alias("bins"), F.min("doc_id").alias("doc_id"))
-    rows = one.select("key", "n", "n_index", "bins", "doc_id", F.posexplode("tokens").alias("place", "token"))
-    shared = filled.groupBy("key").agg(F.first("tokens").alias("tokens")).select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1").select("token")
-    live = _tables.stored(rows.join(shared, "token"), "prefixes")
+    least = sig.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    live = _tables.stored(_live_rows(sig, bloom_bits), "prefixes")
     _tables.release_shuffles(spark)
-    wanted = _tables.stored(live.select("key", "doc_id").distinct(), "wanted")
-    sets = _tables.stored(_whole_sets(docs, wanted, shingle, bloom_bits).dropDuplicates(["key"]), "sets")
-    live = live.drop("doc_id")
     labels = links = done = None
 
     def labelled() -> DataFrame:
@@ -199,7 +221,11 @@ def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, te
         nonlocal labels, links, done
         pairs = pairs.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
         pairs = _tables.stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = _tables.stored(_linked(pairs, sets, percent), "links")
+        asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        wanted = _tables.stored(asked.join(least, "key"), "wanted")
+        _tables.release_shuffles(spark)
+        sets = _tables.stored(_whole_sets(docs, wanted, shingle, bloom_bits), "sets")
+        found = _tables.stored(_linked(pairs, sets, percent).distinct(), "links")
         done = pairs if done is None else done.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
