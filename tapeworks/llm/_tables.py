@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -43,17 +45,42 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held several times over.
+BATCH_ROWS = "2000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(run):
+    """``run`` for mapInArrow, in a worker that gives freed memory back: large arrays are mapped
+    and unmapped one by one, and at the end nothing freed is kept for an idle worker."""
+
+    def wrapped(batches):
+        libc = None
+        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                gc.collect()
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def scan_texts(
     frame: DataFrame,
     text: str,
     fields: Iterable[T.StructField],
     make: Callable[[], Callable[[pa.RecordBatch], dict]],
     keep: list[str] | None = None,
-    limit: int = 4 << 20,
+    limit: int = 1 << 20,
     also: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per row of ``frame`` new columns, found from slices of bounded text size.
@@ -81,5 +108,5 @@ def scan_texts(
 
     needed = list(dict.fromkeys([*kept, text, *also]))
     order = list(dict.fromkeys([*(frame.columns if keep is None else keep), *(f.name for f in fields)]))
-    out = frame.select(*[f"`{c}`" for c in needed]).mapInArrow(run, schema)
+    out = frame.select(*[f"`{c}`" for c in needed]).mapInArrow(lean(run), schema)
     return out if order == out.columns else out.select(*[f"`{c}`" for c in order])

@@ -172,7 +172,7 @@ def split(texts: pa.Array, table: np.ndarray = NONSPACE, lower: bool = False) ->
     return Words(LOWER[data] if lower else data, offsets, table)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Slices of a batch of about ``limit`` bytes of text each (one row at least)."""
     n = batch.num_rows
     if not n:

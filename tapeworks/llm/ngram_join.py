@@ -79,7 +79,7 @@ def bucket_counts(docs: DataFrame, shingle: int, bits: int = BUCKET_BITS) -> np.
         have = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), pa.array(total[have])], names=["bucket", "n"])
 
-    rows = docs.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.mapInArrow(_tables.lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << bits, dtype=np.int64)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return out
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, shingle: int, percent: int, bits: int = BUCKET_B
                     [part.column(0), pa.array(n, pa.int64()), pa.array(_binary(classes), pa.binary()), tokens, pa.array(index, pa.int32()), all_bins], names=["doc_id", "n", "key", "tokens", "n_index", "bins"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, tokens array<long>, n_index int, bins array<int>")
+    return docs.mapInArrow(_tables.lean(run), "doc_id long, n long, key binary, tokens array<long>, n_index int, bins array<int>")
 
 
 def _bloom_keys(key: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
@@ -132,7 +132,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int, bloom_bits: in
             yield pa.RecordBatch.from_arrays([pa.array(_bloom_keys(raw, batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)).view(np.int64))], names=["hash"])
 
     sparse = wanted.count() * 10 <= 1 << bloom_bits
-    known = docs.sparkSession.sparkContext.broadcast(repeats._bloom(wanted.select("key", "doc_id").mapInArrow(hashes, "hash long"), bloom_bits)) if sparse else None
+    known = docs.sparkSession.sparkContext.broadcast(repeats._bloom(wanted.select("key", "doc_id").mapInArrow(_tables.lean(hashes), "hash long"), bloom_bits)) if sparse else None
 
     def run(batches):
         for batch in batches:
@@ -148,7 +148,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int, bloom_bits: in
                 yield pa.RecordBatch.from_arrays([pa.array(_binary(classes[mine]), pa.binary()), sets], names=["key", "set"])
 
     source = docs if sparse else docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    return source.mapInArrow(run, "key binary, set array<long>")
+    return source.mapInArrow(_tables.lean(run), "key binary, set array<long>")
 
 
 def _live_rows(sig: DataFrame, bloom_bits: int) -> DataFrame:
@@ -177,7 +177,7 @@ def _live_rows(sig: DataFrame, bloom_bits: int) -> DataFrame:
                 [pa.array(tokens[hit].view(np.int64)), *[batch.column(k).take(mine) for k in range(4)], pa.array(place[hit].astype(np.int32))], names=["token", *names, "place"]
             )
 
-    found = filled.select(*names, "tokens").mapInArrow(run, "token long, key binary, n long, n_index int, bins array<int>, place int")
+    found = filled.select(*names, "tokens").mapInArrow(_tables.lean(run), "token long, key binary, n long, n_index int, bins array<int>, place int")
     return found.dropDuplicates(["key", "token"])
 
 

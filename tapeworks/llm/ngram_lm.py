@@ -34,6 +34,8 @@ VOCAB_BITS = 6
 #: Bigrams that one shard holds about.
 SHARD_ROWS = 1 << 21
 FOLDS = 10
+#: Bytes of text in a slice; larger ones make fewer, denser blocks.
+SLICE = 3 << 20
 
 FIELDS = [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score")]
 
@@ -129,7 +131,7 @@ def _by_shard(blocks: DataFrame, write, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, arrow)], names=[f.name for f in fields])
 
     fields = T.StructType.fromDDL(schema).fields
-    return blocks.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    return blocks.repartition("shard").sortWithinPartitions("shard").mapInArrow(_tables.lean(run), schema)
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -265,7 +267,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
 
     def count_words(batches):
         for batch in batches:
-            for part in _words.pieces(batch, "text", 16 << 20):
+            for part in _words.pieces(batch, "text", SLICE):
                 distinct, of, _ = _tokens(part.column(0))
                 n = np.bincount(of, minlength=len(distinct))
                 edges = np.searchsorted(distinct >> np.uint64(64 - VOCAB_BITS), np.arange((1 << VOCAB_BITS) + 1, dtype=np.uint64))
@@ -277,7 +279,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         _save(f"{root}/vocab-{shard}.n.npy", counts)
         return shard, len(keys), int(counts.sum())
 
-    found = _by_shard(docs.mapInArrow(count_words, "shard long, block binary"), write_words, "shard long, size long, n long").collect()  # a row a shard
+    found = _by_shard(docs.mapInArrow(_tables.lean(count_words), "shard long, block binary"), write_words, "shard long, size long, n long").collect()  # a row a shard
     sizes = [0] * (1 << VOCAB_BITS)
     for r in found:
         sizes[r["shard"]] = r["size"]
@@ -288,7 +290,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     def count_pairs(batches):
         vocab = Vocabulary(root, sizes)
         for batch in batches:
-            for part in _words.pieces(batch, "text", 16 << 20):
+            for part in _words.pieces(batch, "text", SLICE):
                 distinct, of, first = _tokens(part.column(0))
                 word = vocab.find(distinct)[0][of]
                 context = np.empty(len(of), dtype=np.int64)
@@ -314,7 +316,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         _save(f"{root}/pairs-{shard}.sums.npy", sums)
         return shard, len(keys), [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
-    pairs = _by_shard(docs.mapInArrow(count_pairs, "shard long, block binary"), write_pairs, "shard long, size long, times array<long>").collect()  # a row a shard
+    pairs = _by_shard(docs.mapInArrow(_tables.lean(count_pairs), "shard long, block binary"), write_pairs, "shard long, size long, times array<long>").collect()  # a row a shard
     _tables.release_shuffles(spark)
     times = [sum(r["times"][k] for r in pairs) for k in range(4)]
 
@@ -334,7 +336,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         return block, [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [int((counts >= 3).sum())]
 
     listed = spark.createDataFrame([(r["shard"],) for r in pairs], "shard long").repartition(max(1, min(len(pairs), 512)), "shard")
-    low = _by_shard(listed.mapInArrow(contexts_of, "shard long, block binary"), write_low, "shard long, times array<long>").collect()  # a row per 2^20 words
+    low = _by_shard(listed.mapInArrow(_tables.lean(contexts_of), "shard long, block binary"), write_low, "shard long, times array<long>").collect()  # a row per 2^20 words
     low_times = [sum(r["times"][k] for r in low) for k in range(5)]
     _tables.release_shuffles(spark)
     return Model(root, sizes, tokens, shards, len(low), discounts(times), discounts(low_times[:4]), sum(r["size"] for r in pairs), [low_times[0], low_times[1], low_times[4]])
@@ -347,7 +349,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         scorer = Scorer(model)
         return lambda part: scorer.columns(part.column(part.schema.get_field_index(text)))
 
-    return _tables.scan_texts(docs, text, FIELDS, make, limit=16 << 20)
+    return _tables.scan_texts(docs, text, FIELDS, make, limit=SLICE)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -295,7 +295,7 @@ def write_tokens(
 
         yield from _blocks(stream(), TaskContext.get().partitionId(), planes, block, level)
 
-    ordered.mapInArrow(run, STORE).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(_tables.lean(run), STORE).write.option("compression", "none").parquet(path)
     return path
 
 
@@ -362,7 +362,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
                 columns = [[row["part"]] * k, row["doc_row"], [None if d == NO_ID else d for d in row["doc_id"]], row["doc_start"], row["doc_n"], [row["block"]] * k, row["length"], crc]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(columns)], names=_PIECES.names)
 
-    parts = store.mapInArrow(run, _PIECES)
+    parts = store.mapInArrow(_tables.lean(run), _PIECES)
     whole = parts.where(F.col("length") == F.col("doc_n")).select("part", "doc_id", "doc_start", "doc_n", "crc")
 
     @F.udf("long")
