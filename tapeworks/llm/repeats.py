@@ -89,7 +89,7 @@ def _bloom(shared: DataFrame, bits: int) -> np.ndarray:
             ored = np.bitwise_or.reduceat(np.uint64(1) << (slots & np.uint64(63)), first) if len(word) else slots
             yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(ored.view(np.int64))], names=["word", "bit"])
 
-    rows = shared.mapInArrow(run, schema).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    rows = shared.mapInArrow(_tables.lean(run), schema).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << max(0, bits - 6), dtype=np.uint64)
     out[rows.column("word").to_numpy()] = rows.column("bit").to_numpy().view(np.uint64)
     return out
@@ -110,7 +110,7 @@ def _anchors(docs: DataFrame, size: int) -> DataFrame:
                     [pa.array(words.window_hash(at, length).view(np.int64)), pa.array(ids[doc].astype(np.int64)), pa.array(keys[doc] + place)], names=["hash", "doc_id", "place"]
                 )
 
-    return docs.mapInArrow(run, "hash long, doc_id long, place long")
+    return docs.mapInArrow(_tables.lean(run), "hash long, doc_id long, place long")
 
 
 def _window_rows(words: _words.Words, ids: np.ndarray, anchors: np.ndarray, size: int) -> pa.RecordBatch:
@@ -146,7 +146,7 @@ def _windows_by_bloom(docs: DataFrame, shared: DataFrame, size: int, bits: int)
                 at = at[_in_bloom(words.window_hash(at, length), bloom, bits)]
                 yield _window_rows(words, part.column(0).to_numpy(zero_copy_only=False), at, size)
 
-    return docs.mapInArrow(run, _WINDOWS)
+    return docs.mapInArrow(_tables.lean(run), _WINDOWS)
 
 
 def _windows_by_join(docs: DataFrame, shared: DataFrame, size: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _windows_by_join(docs: DataFrame, shared: DataFrame, size: int) -> DataFrame
                     mine[here] = np.isin(keys[k] + place[here], listed)
                 yield _window_rows(words, part.column(0).to_numpy(zero_copy_only=False), at[mine], size)
 
-    return docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, _WINDOWS)
+    return docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_tables.lean(run), _WINDOWS)
 
 
 def repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id: str = "doc_id", bloom_bits: int = BLOOM_BITS, action: str = "report") -> DataFrame:
@@ -182,9 +182,12 @@ def repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id: str =
         windows = _windows_by_bloom(named, shared, size, bloom_bits)
     else:
         windows = _windows_by_join(named, shared, size)
+    _tables.release_shuffles(docs.sparkSession)
     firsts = windows.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     again = windows.join(firsts.select("high", "low", "least"), ["high", "low"]).where("doc_id > least")
     found = again.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("place").alias("__places"))
+    found = _tables.stored(found, "removals")
+    _tables.release_shuffles(docs.sparkSession)
     joined = docs.join(found, docs[doc_id] == found["__doc"], "left").drop("__doc")
     as_text = action == "text"
 
