@@ -1,12 +1,14 @@
 """Main text of HTML pages, by wrapper induction over the pages of a host.
 
-Each page becomes a DOM tree. It is aligned, by simple tree matching, with up to ``PARTNERS`` pages
-of its host (those of the least hashes; a page that equals it tells nothing and is left out). A text
-node that meets an equal text at its place in more than half of them is template; the other text
-nodes are slots. Slots are content unless they lie in what is never an article: menus, page headers,
-footers, sidebars, notices, adverts, forms, comments and the like, known by element, role or class.
-An article (else main) element is one slot to the alignment: where a page has one, its text is the
-content, whatever other pages say, so copies of an article under two addresses both keep it.
+Each page becomes a DOM tree. Over all distinct pages of a host, and of a host and layout (the tree
+of tags, equal neighbours once), each text node is counted by tag path and text; constant are those
+on more than half of the other pages. The pages that hold the constants are the wrappers: a page is
+aligned with them by simple tree matching, and a node that meets a constant at its place is template;
+the other text nodes are slots. Slots are content unless they lie in what is never an article: menus,
+page headers, footers, sidebars, notices, adverts, forms, comments and the like, known by element,
+role or class. Where a page has an article (else main) element, only slots inside are content. There
+the pages that vote are the distinct articles, so that copies under two addresses keep it; a constant
+must be in three, and an article of which most would go is a near copy of others and stays whole.
 
 A block is a run of text between block-level tags; br is white space. Character references are
 decoded, white space inside a block becomes one space, blocks are trimmed and joined by a line end.
@@ -16,20 +18,17 @@ row; repeats give equal texts; further columns stay, columns named text and n_ch
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
-import json
 import re
-import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeworks.llm import _tables
 
-PARTNERS = 4
-
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
@@ -188,26 +187,102 @@ def _preorder(node: Node):
         todo.extend(p for p in reversed(x.parts) if isinstance(p, Node))
 
 
-def skeleton(root: Node) -> tuple[list, dict[int, int]]:
-    """The tree to align: [tag, hash of own block texts, children]; slots' elements are leaves.
-    Also each block element's place in preorder."""
+def _digest(*parts: object) -> int:
+    return int.from_bytes(hashlib.blake2b("\n".join(map(str, parts)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def skeleton(root: Node, without: frozenset = frozenset()) -> tuple[list, dict[int, int], list[int]]:
+    """The tree to align: [tag, key of own block texts or 0, children]; a key is of tag path and
+    texts, elements that are never content are leaves, those in ``without`` are left out. Also each
+    block element's key, and the keys in preorder."""
     texts: dict[int, list[str]] = {}
-    for text, owner in blocks(root, keep=lambda c: not c.out and not c.root):
+    for text, owner in blocks(root, keep=lambda c: not c.out and id(c) not in without):
         texts.setdefault(id(owner), []).append(text)
-    places: dict[int, int] = {}
+    keys: dict[int, int] = {}
+    listed: list[int] = []
     top: list = []
-    todo = [(root, top)]
+    todo = [(root, top, 0)]
     while todo:
-        x, into = todo.pop()
+        x, into, path = todo.pop()
         if x.tag in INLINE:
-            todo.extend((p, into) for p in reversed(x.parts) if isinstance(p, Node))
+            todo.extend((p, into, path) for p in reversed(x.parts) if isinstance(p, Node) and id(p) not in without)
             continue
-        places[id(x)] = len(places)
-        own = [x.tag, zlib.crc32("\n".join(texts[id(x)]).encode()) if id(x) in texts else 0, []]
+        path = _digest(path, x.tag)
+        key = _digest(path, *texts[id(x)]) if id(x) in texts else 0
+        if key:
+            keys[id(x)] = key
+            listed.append(key)
+        own = [x.tag, key, []]
         into.append(own)
-        if not x.out and not x.root:
-            todo.extend((p, own[2]) for p in reversed(x.parts) if isinstance(p, Node))
-    return top[0], places
+        if not x.out:
+            todo.extend((p, own[2], path) for p in reversed(x.parts) if isinstance(p, Node) and id(p) not in without)
+    return top[0], keys, listed
+
+
+def flat(tree: list) -> str:
+    """A skeleton as lines of tag, key and number of children, in preorder: pages may nest deeply."""
+    out, todo = [], [tree]
+    while todo:
+        x = todo.pop()
+        out.append(f"{x[0]} {x[1]} {len(x[2])}")
+        todo.extend(reversed(x[2]))
+    return "\n".join(out)
+
+
+def unflat(text: str) -> list:
+    top: list = []
+    open_: list[tuple[list, int]] = [(top, 1)]
+    for line in text.split("\n"):
+        tag, key, n = line.rsplit(" ", 2)
+        into, left = open_.pop()
+        node = [tag, int(key), []]
+        into.append(node)
+        if left > 1:
+            open_.append((into, left - 1))
+        if int(n):
+            open_.append((node[2], int(n)))
+    return top[0]
+
+
+def layout(tree: list) -> int:
+    """A digest of a skeleton's tags, equal neighbours taken once."""
+    done: dict[int, int] = {}
+    todo = [(tree, False)]
+    while todo:
+        x, ready = todo.pop()
+        if not ready:
+            todo.append((x, True))
+            todo.extend((y, False) for y in x[2])
+            continue
+        below = [done[id(y)] for y in x[2]]
+        done[id(x)] = _digest(x[0], *(k for i, k in enumerate(below) if not i or below[i - 1] != k))
+    return done[id(tree)]
+
+
+def content(root: Node) -> list[Node]:
+    """The articles of a page, else its main elements."""
+    return _roots(root, "article") or _roots(root, "main")
+
+
+def groups(host_of: str, found: list[Node], outside: list) -> tuple[int, int]:
+    """The groups a page votes in with its articles (else outside of them): host, host and layout."""
+    side = "article" if found else "page"
+    return _digest(side, host_of), _digest(side, host_of, layout(outside))
+
+
+def pruned(tree: list, keys: frozenset | set) -> list | None:
+    """The skeleton's branches that end in one of the keys; other texts become 0."""
+    done: dict[int, list | None] = {}
+    todo = [(tree, False)]
+    while todo:
+        x, ready = todo.pop()
+        if not ready:
+            todo.append((x, True))
+            todo.extend((y, False) for y in x[2])
+            continue
+        below = [y for y in (done.pop(id(y)) for y in x[2]) if y]
+        done[id(x)] = [x[0], x[1] if x[1] in keys else 0, below] if below or x[1] in keys else None
+    return done[id(tree)]
 
 
 def match(a: list, b: list) -> set[int]:
@@ -276,61 +351,123 @@ def match(a: list, b: list) -> set[int]:
     return constant
 
 
-def extract(text: str | None, partners: list[list]) -> str:
+def extract(text: str | None, wrappers: list[tuple[frozenset, list[list]]]) -> str:
+    """``wrappers``: sets of constant keys, each with skeletons of pages that hold them."""
     root = parse(text or "")
-    tree, places = skeleton(root)
-    votes: dict[int, int] = {}
-    used = 0
-    for other in partners:
-        if other != tree:
-            used += 1
-            for k in match(tree, other):
-                votes[k] = votes.get(k, 0) + 1
-    for mark in ("article", "main"):
-        if found := _roots(root, mark):
-            return "\n".join(t for x in found for t, _ in blocks(x))
-    return "\n".join(t for t, owner in blocks(root) if 2 * votes.get(places.get(id(owner), -1), 0) <= used or not used)
+    found = content(root)
+    part = root
+    if found:
+        part = Node("#")
+        part.parts = list(found)
+    tree, keys, _ = skeleton(part)
+    constant: set[int] = set()
+    for common, trees in wrappers:
+        own = pruned(tree, common)
+        if own is None:
+            continue
+        order, todo = [], [own]
+        while todo:
+            x = todo.pop()
+            order.append(x[1])
+            todo.extend(reversed(x[2]))
+        for other in trees:
+            constant.update(order[k] for k in match(own, other))
+    every = blocks(part)
+    kept = [t for t, owner in every if keys.get(id(owner)) not in constant]
+    if found and 2 * sum(map(len, kept)) < sum(len(t) for t, _ in every):
+        kept = [t for t, _ in every]  # a near copy of other articles, not a template around this one
+    return "\n".join(kept)
 
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def main_text(pages: DataFrame, html: str = "html", url: str = "url", partners: int = PARTNERS) -> DataFrame:
+def _facts(batches):
+    """The votes of pages (host, html): per group its voter (equal ones count once), keys and skeleton."""
+    names = ["groups", "voter", "keys", "tree", "least"]
+    for batch in batches:
+        rows: list[tuple] = []
+        for of, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            root = parse(h or "")
+            found = content(root)
+            tree, _, keys = skeleton(root, frozenset(map(id, found)))
+            rows.append(([_digest("page", of), _digest("page", of, layout(tree))], _digest(*keys, h if not keys else ""), sorted(set(keys)), flat(tree), [2, 3]))
+            if found:
+                inner = Node("#")
+                inner.parts = list(found)
+                both = list(groups(of, found, tree))
+                tree, _, keys = skeleton(inner)
+                rows.append((both, _digest(*keys), sorted(set(keys)), flat(tree), [3, 3]))
+        types = [pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """Of pages (host, html) each group's constants: keys that are on more than half of a page's
+    fellows, and for each key the richest page that holds it (group, constants, trees)."""
+    facts = pages.mapInArrow(_tables.lean(_facts), "groups array<long>, voter long, keys array<long>, tree string, least array<int>")
+    facts = facts.select(F.explode(F.arrays_zip("groups", "least")).alias("g"), "voter", "keys", "tree").select(F.col("g.groups").alias("grp"), F.col("g.least").alias("least"), "voter", "keys", "tree")
+    facts = _tables.stored(facts, "wrapper-votes")
+    votes = facts.groupBy("grp", "voter").agg(F.max("least").alias("least"), F.max("keys").alias("keys"))
+    size = votes.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
+    held = votes.select("grp", "least", F.struct(F.size("keys").alias("n"), "voter").alias("by"), F.explode("keys").alias("key"))
+    counted = held.groupBy("grp", "key").agg(F.count("*").alias("n"), F.max("least").alias("least"), F.max("by").alias("by")).where("n >= least AND n > 1")
+    common = _tables.stored(counted.join(size, "grp").where("2 * (n - 1) > size - 1").select("grp", "key", F.col("by.voter").alias("voter")), "wrapper-keys")
+    best = facts.join(common.select("grp", "voter").distinct(), ["grp", "voter"]).groupBy("grp", "voter").agg(F.min("tree").alias("tree"))
+    trees = best.groupBy("grp").agg(F.sort_array(F.collect_list("tree")).alias("trees"))
+    return _tables.stored(common.groupBy("grp").agg(F.sort_array(F.collect_list("key")).alias("constants")).join(trees, "grp"), "wrappers")
+
+
+def main_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """All columns, with ``text`` and ``n_chars``."""
     named = pages.withColumn("__host", host(F.col(url)))
-    sides = named.where("__host <> '' AND html IS NOT NULL" if html == "html" else F.col("__host") != "").select("__host", F.col(html).alias("h"), F.xxhash64(html).alias("r"))
-    ranked = sides.withColumn("k", F.row_number().over(Window.partitionBy("__host").orderBy("r", "h"))).where(F.col("k") <= partners).select("__host", "h")
+    found = wrappers(named.where((F.col("__host") != "") & F.col(html).isNotNull()).select("__host", F.col(html).alias("h")))
 
-    def trees(batches):
-        for batch in batches:
-            found = [json.dumps(skeleton(parse(h or ""))[0]) for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["__of", "tree"])
+    def place():
+        def kernel(part: pa.RecordBatch) -> dict:
+            column = lambda name: part.column(part.schema.get_field_index(name)).to_pylist()
+            out: list[tuple] = []
+            for h, of in zip(column(html), column("__host")):
+                root = parse(h or "") if of else None
+                roots = content(root) if of else []
+                out.append(groups(of, roots, skeleton(root, frozenset(map(id, roots)))[0]) if of else (None, None))
+            return {"__all": pa.array([x[0] for x in out], pa.int64()), "__layout": pa.array([x[1] for x in out], pa.int64())}
 
-    # at most ``partners`` trees a host; stored, so a host with most of the pages can be split in the join
-    chosen = ranked.mapInArrow(trees, "__of string, tree string").groupBy("__of").agg(F.sort_array(F.collect_list("tree")).alias("__trees"))
-    chosen = _tables.stored(chosen, "wrappers")
-    joined = named.join(chosen, named["__host"] == chosen["__of"], "left").drop("__of")
+        return kernel
+
+    joined = _tables.scan_texts(named, html, [T.StructField("__all", T.LongType()), T.StructField("__layout", T.LongType())], place, also=("__host",))
+    sides = ("__all", "__layout")
+    for c in sides:  # stored, so a host with most of the pages can be split in the join
+        joined = joined.join(found.select(F.col("grp").alias(c), F.struct("constants", "trees").alias(f"{c}_w")), c, "left")
 
     def make():
-        known: dict[tuple, list] = {}
+        known: dict[tuple, tuple] = {}
 
         def kernel(part: pa.RecordBatch) -> dict:
-            column = lambda name: part.column(part.schema.get_field_index(name)).to_pylist()
+            column = lambda name: part.column(part.schema.get_field_index(name))
+            marks = [column(c).to_pylist() for c in sides]
+            raw = [column(f"{c}_w") for c in sides]
             out = []
-            for h, raw in zip(column(html), column("__trees")):
-                key = tuple(raw or ())
-                if key not in known:
-                    if len(known) > 256:
-                        known.clear()
-                    known[key] = [json.loads(t) for t in key]
-                out.append(extract(h, known[key]))
+            for k, h in enumerate(column(html).to_pylist()):
+                mine = []
+                for mark, side in zip(marks, raw):
+                    if mark[k] is None or not side[k].is_valid:
+                        continue
+                    if mark[k] not in known:
+                        if len(known) > 256:
+                            known.clear()
+                        w = side[k].as_py()
+                        keys = frozenset(w["constants"])
+                        known[mark[k]] = keys, [x for x in (pruned(unflat(t), keys) for t in w["trees"]) if x]
+                    mine.append(known[mark[k]])
+                out.append(extract(h, mine))
             return {"text": pa.array(out, pa.string()), "n_chars": pa.array(map(len, out), pa.int64())}
 
         return kernel
 
     fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    return _tables.scan_texts(joined, html, fields, make, keep=pages.columns, also=("__trees",))
+    return _tables.scan_texts(joined, html, fields, make, keep=pages.columns, also=(*sides, *(f"{c}_w" for c in sides)))
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,23 @@ def test_matching():
     b = ["b", 0, [["div", 0, [["p", 9, []], ["p", 3, []]]], ["p", 4, []]]]
     assert W.match(a, b) == {4, 5}
     assert W.match(a, ["x", 0, []]) == set()
+
+
+def texts(spark, pages):
+    return {r.page_id: r.text for r in W.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_votes_inside_articles(spark):
+    page = lambda k: f"<body><article><h1>Story {k}</h1><p>{f'Body {k} of many own words. ' * 4}</p><div><p>Read our terms of use</p></div></article></body>"
+    pages = [(k, f"http://a.example/{k}", page(k)) for k in range(5)] + [(k, f"http://a.example/{k}", page(0)) for k in range(5, 9)]
+    pages += [(20 + k, f"http://copies.example/{k}", page(77)) for k in range(6)]
+    out = texts(spark, pages)
+    for k in range(9):
+        own = k if k < 5 else 0
+        assert out[k] == f"Story {own}\n" + (f"Body {own} of many own words. " * 4).strip()
+    assert all(out[20 + k].endswith("Read our terms of use") and "Body 77" in out[20 + k] for k in range(6))
+
+
+def test_deep_pages(spark):
+    deep = lambda k: "<div>" * 3000 + f"<p>Hello</p><p>deep {k}</p>" + "</div>" * 3000
+    assert texts(spark, [(k, f"http://d.example/{k}", deep(k)) for k in range(3)]) == {k: f"deep {k}" for k in range(3)}
