@@ -85,6 +85,18 @@ def test_votes_inside_articles(spark):
     assert all(out[20 + k].endswith("Read our terms of use") and "Body 77" in out[20 + k] for k in range(6))
 
 
+def test_minority_layout_and_copies(spark):
+    other = lambda k: f"<body><table><tr><td>Our own shop</td></tr><tr><td><p>Thing {k}</p></td></tr></table></body>"
+    pages = [(k, f"http://b.example/{k}", wrapped(f"story {k}")) for k in range(40)]
+    pages += [(100 + k, f"http://b.example/t{k}", other(k)) for k in range(5)]
+    pages += [(200 + k, f"http://b.example/c{k}", wrapped("story 0")) for k in range(30)]
+    pages += [(300, "http://b.example/n", wrapped("story 0", "<p>one more line</p>"))]
+    out = texts(spark, pages)
+    assert all(out[100 + k] == f"Thing {k}" for k in range(5))
+    assert all(out[200 + k] == out[0] == "story 0\nAbout story 0" for k in range(30))
+    assert out[300] == "story 0\nAbout story 0\none more line"
+
+
 def test_deep_pages(spark):
     deep = lambda k: "<div>" * 3000 + f"<p>Hello</p><p>deep {k}</p>" + "</div>" * 3000
     assert texts(spark, [(k, f"http://d.example/{k}", deep(k)) for k in range(3)]) == {k: f"deep {k}" for k in range(3)}
