@@ -15,8 +15,8 @@ HOUR = 3_600_000_000_000
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A day's window from each ADD whose sequence number ends in 0 or 5."""
-    return M.events(spark, sf_dir).where("kind = 'ADD' AND seq % 5 = 0").select("symbol", F.col("seq").alias("run"), F.col("t").alias("begin"), (F.col("t") + DAY).alias("end"), "side", F.col("price").alias("own"))
+    """A day's window from each ADD."""
+    return M.events(spark, sf_dir).where("kind = 'ADD'").select("symbol", F.col("seq").alias("run"), F.col("t").alias("begin"), (F.col("t") + DAY).alias("end"), "side", F.col("price").alias("own"))
 
 
 SPANS = f"sp AS (SELECT symbol, seq AS run, t AS begin, t + {DAY} AS finish, side, price AS own FROM ev WHERE kind = 'ADD' AND seq % 5 = 0)"
