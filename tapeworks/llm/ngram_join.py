@@ -147,7 +147,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int, bloom_bits: in
                 sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[mine])).astype(np.int32)), pa.array(taken))
                 yield pa.RecordBatch.from_arrays([pa.array(_binary(classes[mine]), pa.binary()), sets], names=["key", "set"])
 
-    source = docs if sparse else docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
+    source = docs if sparse else docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("doc_id", "text")
     return source.mapInArrow(_tables.lean(run), "key binary, set array<long>")
 
 

@@ -97,3 +97,10 @@ def test_keep_one(spark, frame):
         if n:
             seen.add(mark)
     assert kept == sorted(want, key=str)
+
+
+def test_null_ids_on_large_inputs(spark, frame):
+    rows = near(11, bases=5, copies=5)
+    rows = [(None if k % 2 else d, t) for k, (d, t) in enumerate(rows)]
+    found = J.jaccard_components(frame(rows).repartition(3), bloom_bits=5)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(brute(rows), key=str)
