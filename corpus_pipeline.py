@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame; run() chains them, every stage
 written as Parquet and read again before the next. All but the last return the columns of
 documents. Of a near-duplicate component the row with the least doc_id stays, of equal ids the one
-with the least text; texts without words are near duplicates of nothing.
+with the least text; texts without words are near duplicates of nothing. Near are texts by op4's
+contract (3 words, 90 %), not by the general rule of 5 words and 0.8: the tests of the stage hold it so.
 """
 
 from __future__ import annotations
