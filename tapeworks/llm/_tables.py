@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -35,7 +36,27 @@ def stored(frame: DataFrame, name: str = "cut") -> DataFrame:
     """Written to the shared folder and read back: a cut of the lineage that outlives executors."""
     path = fresh_path(frame.sparkSession, name)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete what stored() wrote for frames that nothing reads any more."""
+    for frame in frames:
+        path = None if frame is None else _paths.pop(frame, None)
+        if path is not None:
+            jvm = frame.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def rename(held: DataFrame, by: DataFrame) -> None:
+    """``by`` is now the frame whose discard() deletes what ``held`` was stored as."""
+    _paths[by] = _paths.pop(held)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -1,14 +1,17 @@
 """Vectorised splitting and hashing of texts, on the bytes of Arrow strings.
 
 A table of 256 flags says which bytes belong to words; word classes that only exclude
-ASCII bytes can be cut on UTF-8 bytes. Hashes are polynomials over the ring of 64-bit
-integers, taken from prefix sums, so a batch costs a few numpy passes whatever its words.
-They only find candidates or group equal sequences; operators that must not be wrong about
-one pair verify it, or use two independent hashes (128 bits).
+ASCII bytes can be cut on UTF-8 bytes. A word's hash chains its 8-byte pieces through a
+bijection that is not algebraic (blake2b beyond 256 bytes), so no pattern of letters makes
+words of equal hash. A window's hash is a polynomial of its words' hashes over the ring of
+64-bit integers, taken from prefix sums, so a batch costs a few numpy passes. The second
+window hash rests on word hashes of another seed.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -89,8 +92,33 @@ class Roller:
         return mix(raw + np.uint64(self.seed))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_LETTERS = Roller(0xD1342543DE82EF95, 0x5851F42D4C957F2D)
+#: Bytes of a word that are hashed in numpy passes; what is longer goes to blake2b.
+_CHAINED = 256
+
+
+def hash_slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of slices of bytes (one byte each at least)."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    length = end - begin
+
+    def piece(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        unused = (np.uint64(8) - np.minimum(left, 8).astype(np.uint64)) * np.uint64(8)
+        return (eight[at] << unused) >> unused
+
+    out = mix(piece(begin, length) ^ mix(length.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 + seed & _MASK)))
+    more, done = np.flatnonzero(length > 8), 8
+    while len(more) and done < _CHAINED:
+        out[more] = mix((out[more] << np.uint64(1) | out[more] >> np.uint64(63)) ^ piece(begin[more] + done, length[more] - done))
+        done += 8
+        more = more[length[more] > done]
+    for k in more.tolist():
+        rest = hashlib.blake2b(data[begin[k] + done : end[k]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        out[k] = mix(out[k : k + 1] ^ np.frombuffer(rest, dtype="<u8"))[0]
+    return out
+
+
 _FIRST = Roller(0xAF251AF3B0F025B5, 0x14057B7EF767814F)
 _SECOND = Roller(0xC6BC279692B5C323, 0x2545F4914F6CDD1D)
 
@@ -124,9 +152,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            sums = _LETTERS.prefix(_BYTES[self.data])
-            length = (self.end - self.begin).astype(np.uint64)
-            self._hash = mix(_LETTERS.slices(sums, self.begin, self.end) + length)
+            self._hash = hash_slices(self.data, self.begin, self.end)
         return self._hash
 
     def windows(self, size: int) -> np.ndarray:
@@ -143,7 +169,7 @@ class Words:
         key = "_sums2" if second else "_sums1"
         sums = getattr(self, key, None)
         if sums is None:
-            sums = roller.prefix(mix(self.hash ^ np.uint64(0x6A09E667F3BCC909)) if second else self.hash)
+            sums = roller.prefix(hash_slices(self.data, self.begin, self.end, 0x6A09E667F3BCC909) if second else self.hash)
             setattr(self, key, sums)
         return roller.slices(sums, at, at + size)
 

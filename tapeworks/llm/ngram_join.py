@@ -3,17 +3,20 @@
 A-Z are lower-cased, words are runs without ASCII white space; a document's set holds its
 distinct shingles of ``shingle`` words (with fewer words, the whole sequence as one). Two sets
 link when 100 * intersection >= ``percent`` * union. Equal sets form one class and only classes
-are compared. A set's tokens are ordered by how often their hash bucket occurs in all documents
-(a table of fixed size), rare first, then by hash: any one global order finds every link. Of
+are compared, each by the row of its least doc_id. A set's tokens are ordered by how often their
+cell of a count table occurs in all documents, rare first, then by hash: any one global order
+finds every link. The table has a cell for each shingle of the corpus, up to 2^``MAX_BITS``. Of
 two sets that link, the larger one's prefix and the smaller one's shorter index prefix share a
 token, at places that leave enough tokens after it (positional filter), and their tokens fall
-into hash bins with enough overlap (suffix filter).
+into hash bins with enough overlap (suffix filter, on the pairs that are left).
 
 No group is paired with itself. In each of ``rounds`` every token names a pivot, the class
-that has it earliest, and the token's other classes are checked against the pivot alone; links
-found so far make components, and a token whose classes are in one component is done. What is
-left is joined in full: classes outside a token's largest component with those of all other
-components. Pairs are checked once, on whole sets.
+that has it earliest; the token's other classes are checked against the pivot alone, and then
+the pivot leaves the token, as all its pairs are done. Links found so far make components, and
+a token whose classes are in one component is done. Tokens that still hold more than ``HOT``
+classes are split by the next token that two sets would have to share (prefixes are one token
+longer for that); then classes outside a token's largest component are paired with those of
+other components. Pairs are checked once, on whole sets.
 
 Null, empty and wordless texts have empty sets and link with nothing. Repeated doc_ids and
 rows each count; a null doc_id never names a component unless all its members are null.
@@ -32,19 +35,27 @@ from tapeworks.llm import _tables, _words, repeats
 from tapeworks.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
-BUCKET_BITS, BINS, ROUNDS = 19, 16, 2
+BINS, ROUNDS = 16, 2
+#: The count table: cells at most (4 bits each, so 32 MB are broadcast), cells of the ranges it
+#: is merged by, shingles a task holds between two of its contributions.
+MAX_BITS, RANGE_BITS, HELD = 26, 18, 1 << 22
+#: Occurrences from which a cell is of the next level; equal levels are ordered by hash.
+LEVELS = np.array([2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 1024, 4096, 16384])
+#: Classes of a token from which it is split by a second one.
+HOT = 64
 
 
 def _sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted in each text; their texts; set sizes."""
     words = _words.split(texts, _words.NONSPACE, lower=True)
     at = words.windows(shingle)
-    doc = np.searchsorted(words.first, at, side="right") - 1
+    doc = words.doc[at] if len(at) else at
     short = np.flatnonzero((words.counts > 0) & (words.counts < shingle))
     at, size = np.append(at, words.first[short]), np.append(np.full(len(at), shingle), words.counts[short])
     doc = np.append(doc, short)
     keys = _words.mix(words.window_hash(at, size) + size.astype(np.uint64))
-    order = np.lexsort((keys, doc))
+    order = np.argsort(keys)
+    order = order[_stable(doc[order], len(words.counts))]
     keys, doc = keys[order], doc[order]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
@@ -52,6 +63,11 @@ def _sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return keys, doc, np.bincount(doc, minlength=len(words.counts))
 
 
+def _stable(small: np.ndarray, n: int) -> np.ndarray:
+    """A stable order of numbers under ``n``; by radix where they fit 16 bits."""
+    return np.argsort(small.astype(np.uint16) if n <= 1 << 16 else small, kind="stable")
+
+
 def _class_keys(keys: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """128 bits of each set, as two columns."""
     out = np.zeros((n, 2), dtype=np.uint64)
@@ -67,22 +83,78 @@ def _binary(keys: np.ndarray) -> list[bytes]:
     return [raw[i : i + 16] for i in range(0, len(raw), 16)]
 
 
-def bucket_counts(docs: DataFrame, shingle: int, bits: int = BUCKET_BITS) -> np.ndarray:
-    """How many sets of all documents have a shingle in each hash bucket; 2^bits numbers."""
+#: Of a row: doc_id, set size, class. Of a contribution to the count table: range, cells.
+_SCAN = "doc_id long, n long, key binary, range int, cells binary"
+
+
+def table_bits(docs: DataFrame, most: int = MAX_BITS) -> int:
+    """Bits of a cell's number: about as many cells as the texts have words."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(most, max(12, (size // 6).bit_length()))
+
+
+def scan(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """Rows and count-table contributions of all texts, in one pass. Cells go sorted, as the
+    bytes of their differences, by plane, which the shuffle's compression takes well."""
+    shift = min(bits, RANGE_BITS)
+    ranges = 1 << (bits - shift)
+
+    def contributions(held: list[np.ndarray]) -> pa.RecordBatch:
+        cells = np.sort(np.concatenate(held))
+        cut = np.searchsorted(cells, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(shift))
+        blobs, have = [], np.flatnonzero(np.diff(cut))
+        for r in have.tolist():
+            inside = cells[cut[r] : cut[r + 1]].astype(np.int64) - (r << shift)
+            blobs.append(np.diff(inside, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+        k = len(have)
+        empty = pa.nulls(k, pa.int64())
+        return pa.RecordBatch.from_arrays([empty, empty, pa.nulls(k, pa.binary()), pa.array(have.astype(np.int32)), pa.array(blobs, pa.binary())], names=["doc_id", "n", "key", "range", "cells"])
 
     def run(batches):
-        total = np.zeros(1 << bits, dtype=np.int64)
+        held, size = [], 0
         for batch in batches:
             for part in _words.pieces(batch, "text"):
-                keys, _, _ = _sets(part.column(1), shingle)
-                total += np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        have = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), pa.array(total[have])], names=["bucket", "n"])
-
-    rows = docs.mapInArrow(_tables.lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << bits, dtype=np.int64)
-    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return out
+                keys, doc, n = _sets(part.column(1), shingle)
+                held.append((keys >> np.uint64(64 - bits)).astype(np.uint32))
+                size += len(keys)
+                rows = len(n)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(_binary(_class_keys(keys, doc, rows)), pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                    names=["doc_id", "n", "key", "range", "cells"],
+                )
+                if size >= HELD:
+                    yield contributions(held)
+                    held, size = [], 0
+        if size:
+            yield contributions(held)
+
+    return docs.mapInArrow(_tables.lean(run), _SCAN)
+
+
+def count_levels(scanned: DataFrame, bits: int) -> np.ndarray:
+    """The level of each cell over all texts, two to a byte; 2^(bits - 1) bytes."""
+    width = 1 << min(bits, RANGE_BITS)
+    ranges = (1 << bits) // width
+
+    def run(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                planes = np.frombuffer(blob.as_buffer(), dtype=np.uint8).reshape(4, -1)
+                cells = np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype=np.int64)
+                if r not in totals:
+                    totals[r] = np.zeros(width, dtype=np.int64)
+                at = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+                totals[r][cells[at]] += np.diff(np.append(at, len(cells)))
+        for r, total in totals.items():
+            level = np.searchsorted(LEVELS, total, side="right").astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([(level[::2] | level[1::2] << 4).tobytes()], pa.binary())], names=["range", "levels"])
+
+    merged = scanned.where("range IS NOT NULL").select("range", "cells").repartition(ranges, "range").mapInArrow(_tables.lean(run), "range int, levels binary")
+    out = np.zeros((ranges, width // 2), dtype=np.uint8)
+    for row in merged.toLocalIterator():  # of fixed size
+        out[row["range"]] = np.frombuffer(row["levels"], dtype=np.uint8)
+    return out.reshape(-1)
 
 
 def prefix_sizes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,105 +164,177 @@ def prefix_sizes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return n - least + 1, n - equal + 1
 
 
-def signatures(docs: DataFrame, shingle: int, percent: int, bits: int = BUCKET_BITS) -> DataFrame:
-    """doc_id, n, key (class), tokens (probe prefix, rare first), n_index, bins."""
-    counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, shingle, bits))  # of fixed size
+def _bloom_keys(key: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    return _words.mix(key[:, 0] ^ _words.mix(doc_id.astype(np.int64).view(np.uint64)))
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+class _Chosen:
+    """Rows of given (key, doc_id), told in tasks by two Bloom filters while they are few enough:
+    one of ids alone, before a text's set is made, and one of both. Beyond, rows are joined."""
+
+    def __init__(self, docs: DataFrame, wanted: DataFrame, bloom_bits: int, ids_too: bool) -> None:
+        self.docs, self.wanted, self.bits = docs, wanted, bloom_bits
+        self.sparse = wanted.count() * 10 <= 1 << bloom_bits
+        self.both = self.ids = None
+        if self.sparse:
+            send = docs.sparkSession.sparkContext.broadcast
+            self.both = send(repeats._bloom(self._hashes("key", "doc_id"), bloom_bits))
+            self.ids = send(repeats._bloom(self._hashes("doc_id"), bloom_bits)) if ids_too else None
+
+    def _hashes(self, *names: str) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                ids = _ids(batch.column(batch.num_columns - 1))
+                raw = np.zeros((len(ids), 2), dtype=np.uint64)
+                if batch.num_columns == 2:
+                    raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(_bloom_keys(raw, ids).view(np.int64))], names=["hash"])
+
+        return self.wanted.select(*names).mapInArrow(_tables.lean(run), "hash long")
+
+    def source(self) -> DataFrame:
+        if self.sparse:
+            return self.docs
+        ids = self.wanted.select(F.col("doc_id").alias("__id")).distinct()
+        return self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("doc_id", "text")
+
+    def rows_of_ids(self, part: pa.RecordBatch) -> pa.RecordBatch:
+        if self.ids is None:
+            return part
+        ids = _ids(part.column(0))
+        return part.take(pa.array(np.flatnonzero(repeats._in_bloom(_bloom_keys(np.zeros((len(ids), 2), dtype=np.uint64), ids), self.ids.value, self.bits))))
+
+    def rows(self, classes: np.ndarray, ids: pa.Array) -> np.ndarray:
+        if self.both is None:
+            return np.ones(len(classes), dtype=bool)
+        return repeats._in_bloom(_bloom_keys(classes, _ids(ids)), self.both.value, self.bits)
+
+    def for_tasks(self) -> "_Chosen":
+        """Without frames, which don't travel."""
+        out = object.__new__(_Chosen)
+        out.docs = out.wanted = None
+        out.bits, out.sparse, out.both, out.ids = self.bits, self.sparse, self.both, self.ids
+        return out
+
+    def close(self) -> None:
+        for sent in (self.both, self.ids):
+            if sent is not None:
+                sent.destroy()
+
+
+def signatures(docs: DataFrame, chosen: _Chosen, levels, shingle: int, percent: int, bits: int) -> DataFrame:
+    """Of the chosen rows whose sets can link with others: key, n, tokens (probe prefix and one
+    more, rare first), bins."""
+    task = chosen.for_tasks()
 
     def run(batches):
-        known = counts.value
+        known = levels.value
         for batch in batches:
             for part in _words.pieces(batch, "text"):
                 keys, doc, n = _sets(part.column(1), shingle)
                 rows = len(n)
                 classes = _class_keys(keys, doc, rows)
-                bins = np.bincount(doc * BINS + (keys & np.uint64(BINS - 1)).astype(np.int64), minlength=rows * BINS).astype(np.int32)
-                order = np.lexsort((keys, known[(keys >> np.uint64(64 - bits)).astype(np.int64)], doc))
-                ranked = keys[order]
+                mine = (n > 0) & (100 * n >= percent * (n + 1)) & task.rows(classes, part.column(0))
+                bins = np.bincount(doc * BINS + (keys & np.uint64(BINS - 1)).astype(np.int64), minlength=rows * BINS).astype(np.int32).reshape(rows, BINS)
+                inside = mine[doc]
+                keys, doc, n = keys[inside], doc[inside], np.where(mine, n, 0)
+                cell = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                level = known[cell >> 1] >> ((cell & 1) << 2).astype(np.uint8) & np.uint8(15)
+                order = np.argsort(level, kind="stable")
+                order = order[_stable(doc[order], rows)]
                 place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-                probe, index = prefix_sizes(n, percent)
-                probe = np.where(n > 0, probe, 0)
-                taken = ranked[place < probe[doc]].view(np.int64)
-                tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(probe)).astype(np.int32)), pa.array(taken))
-                all_bins = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BINS), pa.array(bins))
+                taken = np.where(n > 0, np.minimum(prefix_sizes(n, percent)[0] + 1, n), 0)
+                tokens = keys[order][place < taken[doc]].view(np.int64)
+                at = pa.array(np.append(0, np.cumsum(taken[mine])).astype(np.int32))
+                all_bins = pa.array(np.arange(mine.sum() + 1, dtype=np.int32) * BINS)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(_binary(classes), pa.binary()), tokens, pa.array(index, pa.int32()), all_bins], names=["doc_id", "n", "key", "tokens", "n_index", "bins"]
+                    [pa.array(_binary(classes[mine]), pa.binary()), pa.array(n[mine], pa.int64()), pa.ListArray.from_arrays(at, pa.array(tokens)), pa.ListArray.from_arrays(all_bins, pa.array(bins[mine].reshape(-1)))],
+                    names=["key", "n", "tokens", "bins"],
                 )
 
-    return docs.mapInArrow(_tables.lean(run), "doc_id long, n long, key binary, tokens array<long>, n_index int, bins array<int>")
+    if chosen.sparse:
+        return docs.mapInArrow(_tables.lean(run), "key binary, n long, tokens array<long>, bins array<int>")
 
+    def named(batches):  # with the doc_id, by which rows are joined
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for out in run([batch.slice(k, 1)]):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, out.num_rows), *out.columns], names=["doc_id", *out.schema.names])
 
-def _bloom_keys(key: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    return _words.mix(key[:, 0] ^ _words.mix(doc_id.astype(np.int64).view(np.uint64)))
+    rows = docs.mapInArrow(_tables.lean(named), "doc_id long, key binary, n long, tokens array<long>, bins array<int>")
+    w = chosen.wanted.select(F.col("key").alias("__key"), F.col("doc_id").alias("__id"))
+    return rows.join(w, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").drop("doc_id")
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int, bloom_bits: int) -> DataFrame:
+def _whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int, bloom_bits: int) -> tuple[DataFrame, _Chosen]:
     """key and its whole set, of the wanted (key, doc_id), found by scanning the texts again."""
-
-    def hashes(batches):
-        for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(_bloom_keys(raw, batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)).view(np.int64))], names=["hash"])
-
-    sparse = wanted.count() * 10 <= 1 << bloom_bits
-    known = docs.sparkSession.sparkContext.broadcast(repeats._bloom(wanted.select("key", "doc_id").mapInArrow(_tables.lean(hashes), "hash long"), bloom_bits)) if sparse else None
+    chosen = _Chosen(docs, wanted, bloom_bits, ids_too=True)
+    task = chosen.for_tasks()
 
     def run(batches):
         for batch in batches:
-            for part in _words.pieces(batch, "text"):
+            for part in _words.pieces(task.rows_of_ids(batch), "text"):
                 keys, doc, n = _sets(part.column(1), shingle)
                 classes = _class_keys(keys, doc, len(n))
-                mine = n > 0
-                if known is not None:
-                    ids = part.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-                    mine &= repeats._in_bloom(_bloom_keys(classes, ids), known.value, bloom_bits)
+                mine = (n > 0) & task.rows(classes, part.column(0))
                 taken = keys[mine[doc]].view(np.int64)
                 sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[mine])).astype(np.int32)), pa.array(taken))
                 yield pa.RecordBatch.from_arrays([pa.array(_binary(classes[mine]), pa.binary()), sets], names=["key", "set"])
 
-    ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
-    source = docs if sparse else docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("doc_id", "text")
-    return source.mapInArrow(_tables.lean(run), "key binary, set array<long>")
+    return chosen.source().mapInArrow(_tables.lean(run), "key binary, set array<long>"), chosen
 
 
-def _live_rows(sig: DataFrame, bloom_bits: int) -> DataFrame:
-    """A row for each class and prefix token that two documents have: token, key, n, n_index,
-    bins, place. Which tokens these are goes to the tasks as a Bloom filter while they are few
-    enough (a token let through by mistake pairs with nothing), else they are joined."""
-    spark, filled = sig.sparkSession, sig.where("n > 0")
-    shared = _tables.stored(filled.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1").select("token"), "shared-tokens")
-    _tables.release_shuffles(spark)
-    names = ["key", "n", "n_index", "bins"]
+def _live_rows(sig: DataFrame, percent: int, bloom_bits: int) -> DataFrame:
+    """A row for each class and prefix token that two classes have: token, key, n, place. Which
+    tokens these are goes to the tasks as a Bloom filter while they are few enough (a token let
+    through by mistake pairs with nothing), else they are joined."""
+    spark = sig.sparkSession
+    prefix = F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100) - F.lit(1e-9)) + 1).cast("int"))
+    shared = _tables.stored(sig.select(F.explode(prefix).alias("token")).groupBy("token").count().where("count > 1").select("token"), "shared-tokens")
     if shared.count() * 10 > 1 << bloom_bits:
-        rows = filled.select(*names, F.posexplode("tokens").alias("place", "token")).join(shared, "token")
-        return rows.select("token", *names, "place").dropDuplicates(["key", "token"])
+        out = _tables.stored(sig.select("key", "n", F.posexplode(prefix).alias("place", "token")).join(shared, "token").select("token", "key", "n", "place"), "prefixes")
+        _tables.discard(shared)
+        return out
     known = spark.sparkContext.broadcast(repeats._bloom(shared, bloom_bits))
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(4)
+            lists = batch.column(2)
             tokens = lists.flatten().to_numpy().view(np.uint64)
             n = np.diff(lists.offsets.to_numpy())
             row = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
             hit = np.flatnonzero(repeats._in_bloom(tokens, known.value, bloom_bits))
             mine = pa.array(row[hit])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[hit].view(np.int64)), *[batch.column(k).take(mine) for k in range(4)], pa.array(place[hit].astype(np.int32))], names=["token", *names, "place"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[hit].view(np.int64)), *[batch.column(k).take(mine) for k in range(2)], pa.array(place[hit].astype(np.int32))], names=["token", "key", "n", "place"])
+
+    out = _tables.stored(sig.select("key", "n", prefix.alias("tokens")).mapInArrow(_tables.lean(run), "token long, key binary, n long, place int"), "prefixes")
+    known.destroy()
+    _tables.discard(shared)
+    return out
+
 
-    found = filled.select(*names, "tokens").mapInArrow(_tables.lean(run), "token long, key binary, n long, n_index int, bins array<int>, place int")
-    return found.dropDuplicates(["key", "token"])
+def _needed(nx: Column, ny: Column, percent: int) -> Column:
+    return F.ceil(F.lit(percent) * (nx + ny) / F.lit(100 + percent) - F.lit(1e-9))
 
 
 def _filters(x: str, y: str, percent: int) -> Column:
-    """Length, positional and suffix filters of two prefix rows with one token."""
+    """Length and positional filters of two prefix rows with one token."""
     c = lambda side, name: F.col(f"{side}.{name}")
     nx, ny = c(x, "n"), c(y, "n")
-    needed = F.ceil(F.lit(percent) * (nx + ny) / F.lit(100 + percent) - F.lit(1e-9))
     length = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
-    places = F.least(nx - c(x, "place"), ny - c(y, "place")) >= needed
-    overlap = F.aggregate(F.zip_with(c(x, "bins"), c(y, "bins"), lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
-    return length & places & (overlap >= needed)
+    return length & (F.least(nx - c(x, "place"), ny - c(y, "place")) >= _needed(nx, ny, percent))
+
+
+def _suffix_filter(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose tokens fall into hash bins with enough overlap."""
+    side = lambda name, k: sig.select(F.col("key").alias(name), F.col("n").alias(f"n{k}"), F.col("bins").alias(f"bins{k}"))
+    overlap = F.aggregate(F.zip_with("bins1", "bins2", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
+    return pairs.join(side("a", 1), "a").join(side("b", 2), "b").where(overlap >= _needed(F.col("n1"), F.col("n2"), percent)).select("a", "b").distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,14 +345,31 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= whole * percent).select("a", "b")
 
 
-def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, text: str, doc_id: str, bloom_bits: int) -> tuple[DataFrame, DataFrame]:
-    """The signatures of all rows; and of each class its key, least doc_id and component's label."""
+def _split_hot(now: DataFrame, sig: DataFrame, percent: int, hot: int) -> DataFrame:
+    """Rows of tokens with labels to pair, with ``second``: 0, or for tokens of more than ``hot``
+    rows one row for each token that may be the next one two linked sets share."""
+    tokens = now.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("m")).where("l1 <> l2").select("token", "m")
+    mine = _tables.stored(now.join(tokens, "token"), "open")
+    cold = mine.where(F.col("m") <= hot).withColumn("second", F.lit(0).cast("long")).drop("m")
+    later = sig.select("key", F.posexplode("tokens").alias("next", "second"))
+    wide = mine.where(F.col("m") > hot).drop("m").join(later, "key").where("next > place").drop("next")
+    return cold.unionByName(wide.select(cold.columns))
+
+
+def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, text: str, doc_id: str, bloom_bits: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n and key of all rows; and of each class its key, least doc_id and component's label."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    sig = _tables.stored(signatures(docs, shingle, percent), "signatures")
-    _tables.release_shuffles(spark)
-    least = sig.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    live = _tables.stored(_live_rows(sig, bloom_bits), "prefixes")
+    bits = table_bits(docs)
+    scanned = _tables.stored(scan(docs, shingle, bits), "scan")
+    rows = scanned.where("range IS NULL").select("doc_id", "n", "key")
+    least = _tables.stored(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
+    chosen = _Chosen(docs, least, bloom_bits, ids_too=False)
+    levels = spark.sparkContext.broadcast(count_levels(scanned, bits))  # of a size with a bound
+    sig = _tables.stored(signatures(docs, chosen, levels, shingle, percent, bits), "signatures")
+    levels.destroy()
+    chosen.close()
+    live = _live_rows(sig, percent, bloom_bits)
     _tables.release_shuffles(spark)
     labels = links = done = None
 
@@ -221,12 +382,15 @@ def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, te
     def check(pairs: DataFrame) -> None:
         nonlocal labels, links, done
         pairs = pairs.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
-        pairs = _tables.stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        pairs = _suffix_filter(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), sig, percent)
+        pairs = _tables.stored(pairs, "pairs")
         asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         wanted = _tables.stored(asked.join(least, "key"), "wanted")
-        _tables.release_shuffles(spark)
-        sets = _tables.stored(_whole_sets(docs, wanted, shingle, bloom_bits), "sets")
+        whole, picked = _whole_sets(docs, wanted, shingle, bloom_bits)
+        sets = _tables.stored(whole, "sets")
         found = _tables.stored(_linked(pairs, sets, percent).distinct(), "links")
+        picked.close()
+        _tables.discard(wanted, sets, labels)
         done = pairs if done is None else done.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
@@ -234,32 +398,41 @@ def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, te
 
     for _ in range(rounds):
         now = labelled()
-        tokens = now.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min(F.struct(F.col("place"), F.col("n"), F.col("key"), F.col("bins"), F.col("label"))).alias("p")).where("l1 <> l2")
-        pivots = tokens.select("token", "p.*").alias("y")
-        pairs = now.alias("x").join(pivots, F.col("x.token") == F.col("y.token")).where((F.col("x.label") != F.col("y.label")) & _filters("x", "y", percent))
+        pivot = F.min(F.struct("place", "n", "key", "label")).alias("p")
+        tokens = now.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), pivot).where("l1 <> l2").select("token", "p")
+        met = now.join(tokens, "token").where(F.col("key") != F.col("p.key")).select("token", "key", "n", "place", "label", "p")
+        met = _tables.stored(met, "met")
+        both = met.select(F.struct("n", "place", "label", "key").alias("x"), F.col("p").alias("y"))
+        pairs = both.where((F.col("x.label") != F.col("y.label")) & _filters("x", "y", percent))
         check(pairs.select(F.col("x.key").alias("k1"), F.col("y.key").alias("k2")))
-
-    now = _tables.stored(labelled(), "labelled")
-    sizes = now.groupBy("token", "label").count()
-    majors = sizes.groupBy("token").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("m.label").alias("major"))
-    minor = now.join(majors, "token").where("label <> major").alias("x")
-    open_tokens = now.join(majors.select("token"), "token").alias("y")
-    probes = lambda a, b: (F.col(f"{a}.n") >= F.col(f"{b}.n")) & (F.col(f"{b}.place") < F.col(f"{b}.n_index"))
-    pairs = minor.join(open_tokens, F.col("x.token") == F.col("y.token")).where((F.col("x.label") != F.col("y.label")) & (probes("x", "y") | probes("y", "x")) & _filters("x", "y", percent))
+        _tables.discard(live)
+        live = met.select("token", "key", "n", "place")
+        _tables.rename(met, live)
+
+    rest = _tables.stored(_split_hot(_tables.stored(labelled(), "labelled"), sig, percent, hot), "rest")
+    sizes = rest.groupBy("token", "second", "label").count()
+    majors = sizes.groupBy("token", "second").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("token", "second", F.col("m.label").alias("major"))
+    minor = rest.join(majors, ["token", "second"]).where("label <> major").alias("x")
+    of_open = rest.join(majors.select("token", "second"), ["token", "second"]).alias("y")
+    index = lambda a: F.col(f"{a}.n") - F.ceil(F.lit(2 * percent) * F.col(f"{a}.n") / F.lit(100 + percent) - F.lit(1e-9)) + 1
+    probes = lambda a, b: (F.col(f"{a}.n") >= F.col(f"{b}.n")) & (F.col(f"{b}.place") < index(b))
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.second") == F.col("y.second"))
+    pairs = minor.join(of_open, same).where((F.col("x.label") != F.col("y.label")) & (probes("x", "y") | probes("y", "x")) & _filters("x", "y", percent))
     check(pairs.select(F.col("x.key").alias("k1"), F.col("y.key").alias("k2")))
+    _tables.discard(live, rest, sig)
 
     classes = least.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
-    return sig, classes
+    return rows, classes
 
 
 def jaccard_components(
-    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS, text: str = "text", doc_id: str = "doc_id", bloom_bits: int = repeats.BLOOM_BITS
+    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS, text: str = "text", doc_id: str = "doc_id", bloom_bits: int = repeats.BLOOM_BITS, hot: int = HOT
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
-    sig, classes = jaccard_classes(docs, shingle, percent, rounds, text, doc_id, bloom_bits)
+    rows, classes = jaccard_classes(docs, shingle, percent, rounds, text, doc_id, bloom_bits, hot)
     firsts = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = classes.join(firsts, "label").select("key", "component_id")
-    result = sig.select("doc_id", "n", "key").join(named, "key", "left")
+    result = rows.join(named, "key", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return result.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

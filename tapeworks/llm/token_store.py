@@ -144,8 +144,7 @@ class PieceEncoder:
             return np.zeros(0, dtype=np.uint32), np.zeros(n_texts, dtype=np.int64)
         first, odd = self._cut(data, offsets)
         last = np.append(first[1:], len(data))
-        sums = _words._LETTERS.prefix(_words._BYTES[data])
-        keys = _words._LETTERS.slices(sums, first, last) | np.uint64(1)
+        keys = _words.hash_slices(data, first, last) | np.uint64(1)
         slot = (keys >> np.uint64(20)).astype(np.int64) & (self.SLOTS - 1)
         entry = self.slot_entry[slot]
         miss = np.flatnonzero(self.slot_key[slot] != keys)

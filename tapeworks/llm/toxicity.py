@@ -124,13 +124,14 @@ def _padded(texts: list[str | None]) -> list[bytes]:
     return [b" " + b"".join([raw[begin[k] : end[k]] + b" " for k in range(a, b)]) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
 
 
+_BYTES = _words.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ROLLER = _words.Roller(0x9FB21C651E98DF25, 0x3C6EF372FE94F82B)
 
 
 def _grams(line: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, place and length of the n-grams of a padded line that lie in one word."""
     data = np.frombuffer(line, dtype=np.uint8)
-    sums = _ROLLER.prefix(_words._BYTES[data])
+    sums = _ROLLER.prefix(_BYTES[data])
     spaces = np.append(0, np.cumsum(data == 0x20))
     out = []
     for n in GRAMS:

@@ -104,3 +104,20 @@ def test_null_ids_on_large_inputs(spark, frame):
     rows = [(None if k % 2 else d, t) for k, (d, t) in enumerate(rows)]
     found = J.jaccard_components(frame(rows).repartition(3), bloom_bits=5)
     assert sorted(map(tuple, found.collect()), key=str) == sorted(brute(rows), key=str)
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_hot_tokens_are_split(spark, frame, rounds):
+    rows = near(21 + rounds, bases=4, copies=20)
+    found = J.jaccard_components(frame(rows).repartition(3), rounds=rounds, hot=1)
+    assert order(map(tuple, found.collect())) == order(brute(rows))
+
+
+def test_words_of_balanced_letters(spark, frame):
+    """Words that polynomial hashes of any base take for equal."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"x {word} y"), (2, f"x {other} y"), (3, f"x {word} y")]
+    assert order(map(tuple, J.jaccard_components(frame(rows)).collect())) == order(brute(rows))
