@@ -5,16 +5,19 @@ word sequence also starts in a document with a smaller doc_id is removed; window
 on the input. The search goes through anchors at the places of a difference cover: for every
 two places i, j there is a shift s < PERIOD with i + s and j + s both in COVER modulo PERIOD,
 so two equal windows share an equal anchor of ``size - PERIOD + 1`` words at the same shift.
-Only windows around anchors that two documents share are hashed (96 bits) and grouped by
-their least doc_id; no pairs are made.
+Only windows around anchors that two rows share are hashed (96 bits) and grouped by their
+least doc_id; no pairs are made. Of equal word sequences (128 bits) the row of the least doc_id
+alone sends anchors and windows: the windows of the others all start in it too, so they lose
+every word, if they have a window at all.
 
-Which anchors are shared goes to the tasks as a Bloom filter of fixed size (``bloom_bits``)
-while it is sparse enough for that; beyond it, shared anchors are joined back to their
-places. Either way all windows of all texts are judged.
+Which anchors are shared, which rows are the first of their word sequence and which have
+removals goes to the tasks as Bloom filters of fixed size (``bloom_bits``) while they are sparse
+enough for that; beyond it, shared anchors are joined back to their places, every row sends its
+own windows and all texts are joined. Either way all windows of all texts are judged.
 
 Null texts have no words. Rows with a null doc_id keep all words and remove none. Rows with
 one doc_id don't remove from one another and each keep a row. Texts under ``size`` words
-stay whole. Columns named like new ones are replaced.
+stay whole. Columns named like new ones are replaced; one named ``__places`` is refused.
 """
 
 from __future__ import annotations
@@ -95,7 +98,76 @@ def _bloom(shared: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _anchors(docs: DataFrame, size: int) -> DataFrame:
+def _id_hash(ids: np.ndarray) -> np.ndarray:
+    return _words.mix(ids.astype(np.int64).view(np.uint64))
+
+
+def _sequence_keys(words: _words.Words) -> np.ndarray:
+    """128 bits of each text's words, as two columns."""
+    return np.stack([words.window_hash(words.first[:-1], words.counts, second=k) for k in (False, True)], axis=1)
+
+
+class _Firsts:
+    """Rows that are the first of their word sequence, as a Bloom filter of (sequence, doc_id);
+    None where there are too many for one. A copy let through by mistake judges itself."""
+
+    def __init__(self, docs: DataFrame, bits: int) -> None:
+        def run(batches):
+            for batch in batches:
+                for part in _words.pieces(batch, "text"):
+                    keys = _sequence_keys(_words.split(part.column(1)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(keys[:, k].view(np.int64)) for k in (0, 1)]], names=["doc_id", "k1", "k2"])
+
+        def hashes(batches):
+            for batch in batches:
+                columns = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(_mixed(*columns).view(np.int64))], names=["hash"])
+
+        rows = docs.mapInArrow(_tables.lean(run), "doc_id long, k1 long, k2 long").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
+        rows = _tables.stored(rows, "sequences")
+        self.bits, self.sent = bits, None
+        if rows.count() * 10 <= 1 << bits:
+            self.sent = docs.sparkSession.sparkContext.broadcast(_bloom(rows.select("k1", "k2", "doc_id").mapInArrow(_tables.lean(hashes), "hash long"), bits))
+        _tables.discard(rows)
+
+    def of(self, words: _words.Words, ids: np.ndarray) -> np.ndarray:
+        if self.sent is None:
+            return np.ones(len(words.counts), dtype=bool)
+        keys = _sequence_keys(words)
+        return _in_bloom(_mixed(keys[:, 0], keys[:, 1], ids.astype(np.int64).view(np.uint64)), self.sent.value, self.bits)
+
+
+def _mixed(k1: np.ndarray, k2: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    return _words.mix(_words.mix(k1 ^ _words.mix(k2)) ^ _words.mix(doc_id))
+
+
+def _taken(words: _words.Words, part: pa.RecordBatch, firsts: _Firsts, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the rows that are the first of their sequence."""
+    at, doc, place = _places(words, length)
+    mine = firsts.of(words, part.column(0).to_numpy(zero_copy_only=False))[doc]
+    return at[mine], doc[mine], place[mine]
+
+
+def _anchor_hashes(docs: DataFrame, firsts: _Firsts, size: int) -> DataFrame:
+    """hash of every anchor, once a row."""
+    length = size - PERIOD + 1
+
+    def run(batches):
+        for batch in batches:
+            for part in _words.pieces(batch, "text"):
+                words = _words.split(part.column(1))
+                at, doc, _ = _taken(words, part, firsts, length)
+                hashes = words.window_hash(at, length)
+                order = np.argsort(hashes)
+                order = order[np.argsort(doc[order], kind="stable")]
+                hashes, doc = hashes[order], doc[order]
+                new = np.append(True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=bool)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64))], names=["hash"])
+
+    return docs.mapInArrow(_tables.lean(run), "hash long")
+
+
+def _anchors(docs: DataFrame, firsts: _Firsts, size: int) -> DataFrame:
     """hash, doc_id, place (with the row's key) of every anchor."""
     length = size - PERIOD + 1
 
@@ -103,7 +175,7 @@ def _anchors(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for part in _words.pieces(batch, "text"):
                 words = _words.split(part.column(1))
-                at, doc, place = _places(words, length)
+                at, doc, place = _taken(words, part, firsts, length)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 keys = _row_keys(words)
                 yield pa.RecordBatch.from_arrays(
@@ -133,8 +205,7 @@ def _window_rows(words: _words.Words, ids: np.ndarray, anchors: np.ndarray, size
 _WINDOWS = "high long, low int, doc_id long, place long"
 
 
-def _windows_by_bloom(docs: DataFrame, shared: DataFrame, size: int, bits: int) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast(_bloom(shared, bits))
+def _windows_by_bloom(docs: DataFrame, firsts: _Firsts, known, size: int, bits: int) -> DataFrame:
     length = size - PERIOD + 1
 
     def run(batches):
@@ -142,22 +213,22 @@ def _windows_by_bloom(docs: DataFrame, shared: DataFrame, size: int, bits: int)
         for batch in batches:
             for part in _words.pieces(batch, "text"):
                 words = _words.split(part.column(1))
-                at, _, _ = _places(words, length)
+                at, _, _ = _taken(words, part, firsts, length)
                 at = at[_in_bloom(words.window_hash(at, length), bloom, bits)]
                 yield _window_rows(words, part.column(0).to_numpy(zero_copy_only=False), at, size)
 
     return docs.mapInArrow(_tables.lean(run), _WINDOWS)
 
 
-def _windows_by_join(docs: DataFrame, shared: DataFrame, size: int) -> DataFrame:
-    places = _anchors(docs, size).join(shared, "hash").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+def _windows_by_join(docs: DataFrame, firsts: _Firsts, shared: DataFrame, size: int) -> DataFrame:
+    places = _anchors(docs, firsts, size).join(shared, "hash").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     length = size - PERIOD + 1
 
     def run(batches):
         for batch in batches:
             for part in _words.pieces(batch, "text"):
                 words = _words.split(part.column(1))
-                at, doc, place = _places(words, length)
+                at, doc, place = _taken(words, part, firsts, length)
                 keys = _row_keys(words)
                 mine = np.zeros(len(at), dtype=bool)
                 for k, listed in enumerate(part.column(2).to_pylist()):
@@ -175,57 +246,97 @@ def repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id: str =
         raise ValueError(f"windows need {PERIOD} words at least, not {size}")
     if action not in ("report", "text"):
         raise ValueError(f"action must be 'report' or 'text', not {action!r}")
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    groups = _anchors(named, size).groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = _tables.stored(groups.where("least < most").select("hash"), "shared-anchors")
+    if clash := {"__places"} & set(docs.columns):
+        raise ValueError(f"columns that this operator uses itself: {sorted(clash)}")
+    spark = docs.sparkSession
+    send = spark.sparkContext.broadcast
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    firsts = _Firsts(named, bloom_bits)
+    shared = _tables.stored(_anchor_hashes(named, firsts, size).groupBy("hash").count().where("count > 1").select("hash"), "shared-anchors")
+    known = None
     if shared.count() * 10 <= 1 << bloom_bits:
-        windows = _windows_by_bloom(named, shared, size, bloom_bits)
+        known = send(_bloom(shared, bloom_bits))
+        windows = _windows_by_bloom(named, firsts, known, size, bloom_bits)
     else:
-        windows = _windows_by_join(named, shared, size)
-    _tables.release_shuffles(docs.sparkSession)
-    firsts = windows.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    again = windows.join(firsts.select("high", "low", "least"), ["high", "low"]).where("doc_id > least")
-    found = again.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("place").alias("__places"))
-    found = _tables.stored(found, "removals")
-    _tables.release_shuffles(docs.sparkSession)
-    joined = docs.join(found, docs[doc_id] == found["__doc"], "left").drop("__doc")
+        windows = _windows_by_join(named, firsts, shared, size)
+    _tables.release_shuffles(spark)
+    # stored, so that a window of very many documents can be dealt to several tasks of the join
+    least = windows.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    least = _tables.stored(least.select("high", "low", "least"), "first-holders")
+    _tables.release_shuffles(spark)
+    again = windows.join(least, ["high", "low"]).where("doc_id > least")
+    found = again.groupBy("doc_id").agg(F.collect_list("place").alias("__places"))
+    found = _tables.stored(found.select(F.col("doc_id").alias("__doc"), "__places"), "removals")
+    _tables.discard(shared, least)
+    if known is not None:
+        known.destroy()
+    _tables.release_shuffles(spark)
+    hits = None
+    if found.count() * 10 <= 1 << bloom_bits:
+
+        def hashed(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(_id_hash(batch.column(0).to_numpy(zero_copy_only=False)).view(np.int64))], names=["hash"])
+
+        hits = send(_bloom(found.select("__doc").mapInArrow(_tables.lean(hashed), "hash long"), bloom_bits))
+
+    def may_have(part: pa.RecordBatch) -> np.ndarray:
+        ids = part.column(part.schema.get_field_index(doc_id)).fill_null(-1).to_numpy(zero_copy_only=False)
+        return _in_bloom(_id_hash(ids), hits.value, bloom_bits)
+
+    def only(part: pa.RecordBatch) -> dict:
+        return {None: np.flatnonzero(may_have(part))}
+
     as_text = action == "text"
 
-    def make():
-        def kernel(part: pa.RecordBatch) -> dict:
-            column = lambda name: part.column(part.schema.get_field_index(name))
-            words = _words.split(column(text))
-            keys = _row_keys(words)
-            n_removed, spans, shas, kept_texts = [], [], [], []
-            raw = words.data.tobytes()
-            for k, places in enumerate(column("__places").to_pylist()):
-                a, b = words.first[k], words.first[k + 1]
-                kept = np.ones(b - a, dtype=bool)
-                if places:
-                    listed = np.array(places, dtype=np.int64) - keys[k]
-                    depth = np.zeros(b - a + 1, dtype=np.int64)
-                    listed = listed[(listed >= 0) & (listed <= b - a - size)]
-                    np.add.at(depth, listed, 1)
-                    np.add.at(depth, listed + size, -1)
-                    kept = np.cumsum(depth[:-1]) <= 0
-                left = np.flatnonzero(kept) + a
-                line = b" ".join([raw[i:j] for i, j in zip(words.begin[left].tolist(), words.end[left].tolist())])
-                if as_text:
-                    kept_texts.append(line.decode())
-                    continue
-                n_removed.append(b - a - len(left))
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], (~kept).astype(np.int8), [0]])))
-                spans.append(edge.tolist())
-                shas.append(hashlib.sha256(line).hexdigest())
+    def judged(part: pa.RecordBatch, listed_places: list) -> dict:
+        column = lambda name: part.column(part.schema.get_field_index(name))
+        words = _words.split(column(text))
+        keys = _row_keys(words)
+        ids = column(doc_id)
+        copies = ~firsts.of(words, ids.fill_null(-1).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+        n_removed, spans, shas, kept_texts = [], [], [], []
+        raw = words.data.tobytes()
+        for k, places in enumerate(listed_places):
+            a, b = words.first[k], words.first[k + 1]
+            kept = np.full(b - a, not (copies[k] and b - a >= size))
+            if places:
+                listed = np.array(places, dtype=np.int64) - keys[k]
+                depth = np.zeros(b - a + 1, dtype=np.int64)
+                listed = listed[(listed >= 0) & (listed <= b - a - size)]
+                np.add.at(depth, listed, 1)
+                np.add.at(depth, listed + size, -1)
+                kept &= np.cumsum(depth[:-1]) <= 0
+            left = np.flatnonzero(kept) + a
+            line = b" ".join([raw[i:j] for i, j in zip(words.begin[left].tolist(), words.end[left].tolist())])
             if as_text:
-                nulls = column(text).is_null().to_pylist()
-                return {text: pa.array([None if n else t for n, t in zip(nulls, kept_texts)], pa.string())}
-            return {"n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "removed_spans": pa.array(spans, pa.list_(pa.int32())), "kept_sha256": pa.array(shas, pa.string())}
+                kept_texts.append(line.decode())
+                continue
+            n_removed.append(b - a - len(left))
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], (~kept).astype(np.int8), [0]])))
+            spans.append(edge.tolist())
+            shas.append(hashlib.sha256(line).hexdigest())
+        if as_text:
+            nulls = column(text).is_null().to_pylist()
+            return {text: pa.array([None if n else t for n, t in zip(nulls, kept_texts)], pa.string())}
+        return {"n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "removed_spans": pa.array(spans, pa.list_(pa.int32())), "kept_sha256": pa.array(shas, pa.string())}
+
+    def with_places():
+        return lambda part: judged(part, part.column(part.schema.get_field_index("__places")).to_pylist())
+
+    def without():
+        def kernel(part: pa.RecordBatch) -> dict:
+            rows = np.flatnonzero(~may_have(part))
+            part = part.take(pa.array(rows))
+            return {None: rows, **judged(part, [None] * len(rows))}
 
         return kernel
 
     fields = [T.StructField(text, docs.schema[text].dataType)] if as_text else FIELDS
-    return _tables.scan_texts(joined, text, fields, make, keep=docs.columns, also=("__places",))
+    mine = docs if hits is None else _tables.scan_texts(docs, text, [], lambda: only)
+    joined = mine.join(found, mine[doc_id] == found["__doc"], "left").drop("__doc")
+    out = _tables.scan_texts(joined, text, fields, with_places, keep=docs.columns, also=(doc_id, "__places"))
+    return out if hits is None else _tables.scan_texts(docs, text, fields, without, also=(doc_id,)).unionByName(out)
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
