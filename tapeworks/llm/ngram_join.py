@@ -36,9 +36,9 @@ from tapeworks.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
 BINS, ROUNDS = 16, 2
-#: The count table: cells at most (4 bits each, so 32 MB are broadcast), cells of the ranges it
+#: The count table: cells at most (4 bits each, so 64 MB are broadcast), cells of the ranges it
 #: is merged by, shingles a task holds between two of its contributions.
-MAX_BITS, RANGE_BITS, HELD = 26, 18, 1 << 22
+MAX_BITS, RANGE_BITS, HELD = 27, 18, 1 << 22
 #: Occurrences from which a cell is of the next level; equal levels are ordered by hash.
 LEVELS = np.array([2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 1024, 4096, 16384])
 #: Classes of a token from which it is split by a second one.
@@ -400,8 +400,10 @@ def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, te
         now = labelled()
         pivot = F.min(F.struct("place", "n", "key", "label")).alias("p")
         tokens = now.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), pivot).where("l1 <> l2").select("token", "p")
+        tokens = _tables.stored(tokens, "pivots")  # a plain side, so that a hot token can be dealt to several tasks
         met = now.join(tokens, "token").where(F.col("key") != F.col("p.key")).select("token", "key", "n", "place", "label", "p")
         met = _tables.stored(met, "met")
+        _tables.discard(tokens)
         both = met.select(F.struct("n", "place", "label", "key").alias("x"), F.col("p").alias("y"))
         pairs = both.where((F.col("x.label") != F.col("y.label")) & _filters("x", "y", percent))
         check(pairs.select(F.col("x.key").alias("k1"), F.col("y.key").alias("k2")))
@@ -412,6 +414,7 @@ def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, te
     rest = _tables.stored(_split_hot(_tables.stored(labelled(), "labelled"), sig, percent, hot), "rest")
     sizes = rest.groupBy("token", "second", "label").count()
     majors = sizes.groupBy("token", "second").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("token", "second", F.col("m.label").alias("major"))
+    majors = _tables.stored(majors, "majors")
     minor = rest.join(majors, ["token", "second"]).where("label <> major").alias("x")
     of_open = rest.join(majors.select("token", "second"), ["token", "second"]).alias("y")
     index = lambda a: F.col(f"{a}.n") - F.ceil(F.lit(2 * percent) * F.col(f"{a}.n") / F.lit(100 + percent) - F.lit(1e-9)) + 1
@@ -419,7 +422,7 @@ def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, te
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.second") == F.col("y.second"))
     pairs = minor.join(of_open, same).where((F.col("x.label") != F.col("y.label")) & (probes("x", "y") | probes("y", "x")) & _filters("x", "y", percent))
     check(pairs.select(F.col("x.key").alias("k1"), F.col("y.key").alias("k2")))
-    _tables.discard(live, rest, sig)
+    _tables.discard(live, rest, majors, sig)
 
     classes = least.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
     return rows, classes
