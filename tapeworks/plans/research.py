@@ -6,10 +6,11 @@ import math
 import random
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.tca import micro
+from tapeworks.operators import windows
 from tapeworks.sources import market as M
 
 
@@ -20,29 +21,48 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id",
         (F.col("notional") / F.col("filled")).cast("long").alias("x1"),
         (F.col("n_fills") * 10 + F.col("run_id") % 3).alias("x2"),
-        F.col("arrival").alias("x3"),
+        F.coalesce("arrival2", F.lit(0)).alias("x3"),
         F.when(F.col("maker") * 2 > F.col("filled"), 1).otherwise(0).alias("label"),
     )
 
 
-SAMPLES = f"""{M.EXECUTIONS}, sa AS (SELECT run_id, CAST(trunc(notional::DOUBLE / filled) AS BIGINT) AS x1, n_fills * 10 + run_id % 3 AS x2, arrival AS x3, CASE WHEN maker * 2 > filled THEN 1 ELSE 0 END AS label FROM ex)"""
+SAMPLES = f"""{M.EXECUTIONS}, sa AS (SELECT run_id, CAST(trunc(notional::DOUBLE / filled) AS BIGINT) AS x1, n_fills * 10 + run_id % 3 AS x2, coalesce(arrival2, 0) AS x3, CASE WHEN maker * 2 > filled THEN 1 ELSE 0 END AS label FROM ex)"""
 
 
 def _p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An exact two-sided sign test per policy: runs above and below zero cost, of 20 at most."""
-    x = M.costs(spark, sf_dir).where("run_id <= 200 AND seed < 3")
-    by = x.groupBy("policy", "seed").agg(F.sum(F.when(F.col("vs_arrival") > 0, 1).otherwise(0)).alias("wins"), F.sum(F.when(F.col("vs_arrival") < 0, 1).otherwise(0)).alias("losses"))
-    n = F.least(F.col("wins") + F.col("losses"), F.lit(20))
-    k = F.least(F.col("wins"), F.col("losses"), F.floor(n / 2))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), F.lit(0.0), lambda s, i: s + F.factorial(n.cast("int")) / (F.factorial(i.cast("int")) * F.factorial((n - i).cast("int"))))
-    p = F.least(F.lit(1.0), tail * 2 / F.pow(F.lit(2.0), n))
-    return by.select("policy", "seed", "wins", "losses", F.when(n > 0, micro(p)).otherwise(F.lit(1_000_000).cast("long")).alias("p"))
+    """An exact two-sided sign test per policy and seed over all its runs: those above and below
+    zero cost."""
+    by = M.costs(spark, sf_dir).groupBy("policy", "seed").agg(F.sum(F.when(F.col("vs_arrival") > 0, 1).otherwise(0)).alias("wins"), F.sum(F.when(F.col("vs_arrival") < 0, 1).otherwise(0)).alias("losses"))
+    return by.select("policy", "seed", "wins", "losses", micro(sign_test(F.col("wins"), F.col("losses"))).alias("p"))
 
 
-P_VALUES = f"""{M.COSTS}, wl AS (SELECT policy, seed, CAST(sum(CASE WHEN vs_arrival > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(sum(CASE WHEN vs_arrival < 0 THEN 1 ELSE 0 END) AS BIGINT) AS losses
-  FROM co WHERE run_id <= 200 AND seed < 3 GROUP BY policy, seed),
-nk AS (SELECT *, least(wins + losses, 20) AS n, least(wins, losses, least(wins + losses, 20) // 2) AS k FROM wl),
-pv AS (SELECT policy, seed, wins, losses, CASE WHEN n > 0 THEN CAST(floor(least(1.0::DOUBLE, (SELECT sum(factorial(n::INTEGER)::DOUBLE / (factorial(i::INTEGER)::DOUBLE * factorial((n - i)::INTEGER)::DOUBLE)) FROM range(k + 1) AS t(i)) * 2 / pow(2.0::DOUBLE, n)) * 1e6 + 0.5) AS BIGINT) ELSE 1000000 END AS p FROM nk)"""
+def log_factorial(x: Column) -> Column:
+    """ln x!: exact to 20, beyond by Stirling's series, whose first left-out term is under 1e-12 there."""
+    y = x.cast("double")
+    series = y * F.log(y) - y + F.log(y * (2 * math.pi)) / 2 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return F.when(x <= 20, F.log(F.factorial(F.least(x, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
+def sign_test(wins: Column, losses: Column) -> Column:
+    """Two-sided p of so many wins and losses under equal chances; 1 without any. The tail is summed
+    down from its greatest term, C(n, k), as far as terms can still count: some sqrt(n) of them."""
+    n, k = wins + losses, F.least(wins, losses)
+    first = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + n * F.lit(math.log(0.5))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def down(s: Column, i: Column) -> Column:
+        term = F.when(i <= k, s["term"] * (k - i + 1) / (n - k + i)).otherwise(F.lit(0.0))
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    far = F.least(k, F.ceil(F.sqrt(n) * 10) + 50)
+    ratio = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(far, F.lit(1)).cast("long")), start, down)["total"]
+    return F.when(n > 0, F.least(F.lit(1.0), F.exp(first + F.log(ratio)) * 2)).otherwise(F.lit(1.0))
+
+
+P_VALUES = f"""{M.COSTS}, wl AS (SELECT policy, seed, CAST(sum(CASE WHEN vs_arrival > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(sum(CASE WHEN vs_arrival < 0 THEN 1 ELSE 0 END) AS BIGINT) AS losses FROM co GROUP BY policy, seed),
+nk AS (SELECT *, wins + losses AS n, least(wins, losses) AS k FROM wl),
+pv AS (SELECT policy, seed, wins, losses, CASE WHEN n > 0 THEN CAST(floor(least(1.0::DOUBLE,
+  2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5::DOUBLE))) FROM range(k + 1) AS t(i))) * 1e6 + 0.5) AS BIGINT) ELSE 1000000 END AS p FROM nk)"""
 
 
 def holm_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +94,7 @@ SELECT policy, count(*) AS pairs, CAST(sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS
 
 def purged_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contiguous 60/20/20 blocks in time order per symbol with 5 rows dropped before each cut."""
-    w = Window.partitionBy("symbol")
-    e = M.events(spark, sf_dir).select("symbol", "seq", (F.row_number().over(w.orderBy("t", "seq")) - 1).alias("k"), F.count("*").over(w).alias("n"))
+    e = windows.numbered(M.events(spark, sf_dir).select("symbol", "seq", "t"), ["symbol"], ["t", "seq"])
     a, b = F.floor(F.col("n") * 6 / 10), F.floor(F.col("n") * 8 / 10)
     k = F.col("k")
     part = F.when(k < a - 5, "train").when((k >= a) & (k < b - 5), "validation").when(k >= b, "test")

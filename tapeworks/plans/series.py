@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.functions.tca import micro, square_root_impact
@@ -19,14 +19,14 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.events(spark, sf_dir).where("kind = 'ADD'").select("symbol", F.col("seq").alias("run"), F.col("t").alias("begin"), (F.col("t") + DAY).alias("end"), "side", F.col("price").alias("own"))
 
 
-SPANS = f"sp AS (SELECT symbol, seq AS run, t AS begin, t + {DAY} AS finish, side, price AS own FROM ev WHERE kind = 'ADD' AND seq % 5 = 0)"
+SPANS = f"sp AS (SELECT symbol, seq AS run, t AS begin, t + {DAY} AS finish, side, price AS own FROM ev WHERE kind = 'ADD')"
 
 
 def interval_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trades = M.events(spark, sf_dir).where("kind = 'TRADE' AND price > 0 AND qty > 0").select("symbol", "t", "price", "qty")
-    found = asof.interval_join(trades, spans(spark, sf_dir), ["symbol"], "t", "begin", "end", DAY)
-    volume = F.sum("qty")
-    return found.groupBy("symbol", "run").agg(F.count("*").alias("n_prints"), volume.alias("volume"), micro(F.sum(F.col("price") * F.col("qty")) / volume).alias("vwap"))
+    trades = M.events(spark, sf_dir).where("kind = 'TRADE' AND price > 0 AND qty > 0").select("symbol", "t", "seq", "price", "qty")
+    sums = {"n_prints": F.lit(1).cast("long"), "volume": F.col("qty"), "notional": (F.col("price") * F.col("qty")).cast("decimal(38,0)")}
+    found = asof.interval_sums(trades, spans(spark, sf_dir), ["symbol"], "t", "seq", "begin", "end", sums)
+    return found.where("n_prints > 0").select("symbol", "run", "n_prints", "volume", micro(F.col("notional").cast("double") / F.col("volume")).alias("vwap"))
 
 
 VWAP = f"""WITH {M.EVENTS}, {SPANS}
@@ -35,8 +35,15 @@ FROM sp JOIN ev e ON e.symbol = sp.symbol AND e.t BETWEEN begin AND finish WHERE
 
 
 def _mids_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that have mids, with the first and the last of them and the sums up to each."""
     mids = M.quotes(spark, sf_dir).where("mid2 IS NOT NULL").select("symbol", "t", "seq", "mid2")
-    return asof.interval_join(mids, spans(spark, sf_dir), ["symbol"], "t", "begin", "end", DAY)
+    mids = windows.previous(mids, ["symbol"], ["t", "seq"], ["t", "mid2"])
+    area = (F.col("mid2") + F.col("p_mid2")).cast("decimal(38,0)") * (F.col("t") - F.col("p_t"))
+    sums = {"n": F.lit(1).cast("long"), "total": F.col("mid2"), "area": F.coalesce(area.cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))}
+    known = windows.cumulative(mids, ["symbol"], ["t", "seq"], sums).select("symbol", "t", "seq", F.struct("t", "mid2", *sums).alias("at"))
+    last = asof.asof_join(spans(spark, sf_dir), known, ["symbol"], "end", "t", "seq", ["at"]).withColumnRenamed("at", "last")
+    both = asof.asof_join(last, known, ["symbol"], "begin", "t", "seq", ["at"], "forward").withColumnRenamed("at", "first")
+    return both.where("first.t <= end").withColumn("n_mids", F.col("last.n") - F.col("first.n") + 1)
 
 
 MIDS_IN = f"{M.QUOTES}, {SPANS}, mi AS (SELECT sp.*, q.t, q.seq, q.mid2 FROM sp JOIN qu q ON q.symbol = sp.symbol AND q.t BETWEEN begin AND finish WHERE mid2 IS NOT NULL)"
@@ -44,11 +51,9 @@ MIDS_IN = f"{M.QUOTES}, {SPANS}, mi AS (SELECT sp.*, q.t, q.seq, q.mid2 FROM sp
 
 def interval_twap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trapezoid over the mids of the window; null under two times."""
-    w = Window.partitionBy("symbol", "run").orderBy("t", "seq")
-    steps = _mids_in(spark, sf_dir).withColumns({"t2": F.lead("t").over(w), "m2": F.lead("mid2").over(w)})
-    area = F.sum((F.col("mid2") + F.col("m2")).cast("decimal(38,0)") * (F.col("t2") - F.col("t")))
-    width = F.max("t") - F.min("t")
-    return steps.groupBy("symbol", "run").agg(F.count("*").alias("n_mids"), F.when(width > 0, micro(area.cast("double") / (width.cast("double") * 4))).alias("twap"))
+    area = (F.col("last.area") - F.col("first.area")).cast("double")
+    width = F.col("last.t") - F.col("first.t")
+    return _mids_in(spark, sf_dir).select("symbol", "run", "n_mids", F.when(width > 0, micro(area / (width.cast("double") * 4))).alias("twap"))
 
 
 TWAP = f"""WITH {MIDS_IN}, st AS (SELECT *, lead(t) OVER w AS t2, lead(mid2) OVER w AS m2 FROM mi WINDOW w AS (PARTITION BY symbol, run ORDER BY t, seq))
@@ -57,8 +62,8 @@ FROM st GROUP BY symbol, run"""
 
 
 def arrival_terminal_mid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.struct("t", "seq")
-    return _mids_in(spark, sf_dir).groupBy("symbol", "run").agg(F.min_by("mid2", at).alias("arrival2"), F.max_by("mid2", at).alias("terminal2"), micro(F.sum("mid2") / F.count("*") / 2).alias("mean_mid"), F.count("*").alias("n_mids"))
+    total = F.col("last.total") - F.col("first.total") + F.col("first.mid2")
+    return _mids_in(spark, sf_dir).select("symbol", "run", F.col("first.mid2").alias("arrival2"), F.col("last.mid2").alias("terminal2"), micro(total / F.col("n_mids") / 2).alias("mean_mid"), "n_mids")
 
 
 ARRIVAL = f"""WITH {MIDS_IN}
@@ -87,18 +92,16 @@ def implementation_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fees_bps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.costs(spark, sf_dir).select("run_id", "fees")
+    return M.costs(spark, sf_dir).select("run_id", "fees_requested", "fees")
 
 
 def signed_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.costs(spark, sf_dir).select("run_id", "side", "vs_arrival", "vs_terminal", "vs_mid")
+    return M.costs(spark, sf_dir).select("run_id", "side", "vs_arrival", "vs_vwap", "vs_twap", "vs_terminal")
 
 
 def _touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sided events with the touch before each."""
-    w = windows.ordered("symbol", "t", "seq")
-    q = M.quotes(spark, sf_dir).where("mid2 IS NOT NULL")
-    return q.withColumns({f"p_{c}": F.lag(c).over(w) for c in ("bid", "bid_qty", "ask", "ask_qty", "mid2")})
+    return windows.previous(M.quotes(spark, sf_dir).where("mid2 IS NOT NULL"), ["symbol"], ["t", "seq"], ["bid", "bid_qty", "ask", "ask_qty", "mid2"])
 
 
 def _ofi():
@@ -130,7 +133,7 @@ def _minute(frame: DataFrame) -> DataFrame:
 
 def rolling_ofi(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _minute(_touch(spark, sf_dir).withColumn("ofi", F.coalesce(_ofi(), F.lit(0))))
-    return x.select("symbol", "seq", windows.trailing(F.col("ofi"), "symbol", "t", "seq", SPAN).alias("ofi"))
+    return windows.trailing(x.select("symbol", "seq", "t", F.col("ofi").alias("own")), ["symbol"], "t", "seq", SPAN, {"ofi": F.col("own")}).select("symbol", "seq", "ofi")
 
 
 def _trailing_sql(value: str, name: str) -> str:
@@ -146,8 +149,8 @@ def realized_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.log(F.col("mid2") / F.col("p_mid2"))
     square = F.when(F.col("p_mid2") > 0, F.floor(r * r * F.lit(1e12) + F.lit(0.5)).cast("long"))
     x = _minute(_touch(spark, sf_dir).withColumn("sq", F.coalesce(square, F.lit(0))))
-    total = windows.trailing(F.col("sq"), "symbol", "t", "seq", SPAN)
-    return x.select("symbol", "seq", micro(F.sqrt(total / F.lit(1e12)) * 1e4).alias("vol"))
+    x = windows.trailing(x.select("symbol", "seq", "t", "sq"), ["symbol"], "t", "seq", SPAN, {"total": F.col("sq")})
+    return x.select("symbol", "seq", micro(F.sqrt(F.col("total") / F.lit(1e12)) * 1e4).alias("vol"))
 
 
 VOL = f"""WITH {TOUCH}, z AS (SELECT symbol, seq, t - t % {HOUR * 2} AS t,
@@ -157,18 +160,18 @@ SELECT symbol, seq, CAST(floor(sqrt(total / 1e12::DOUBLE) * 1e4 * 1e6 + 0.5) AS
 
 
 def rolling_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _minute(M.events(spark, sf_dir))
-    of = lambda cond, v: windows.trailing(F.when(cond, v).otherwise(0), "symbol", "t", "seq", SPAN)
+    of = lambda cond, v: F.when(cond, v).otherwise(0)
     trade = F.col("kind") == "TRADE"
-    x = e.select(
-        "symbol",
-        "seq",
-        of(trade & (F.col("side") == "BUY"), F.col("qty")).alias("buy"),
-        of(trade & (F.col("side") == "SELL"), F.col("qty")).alias("sell"),
-        of(trade, F.lit(1)).alias("trades"),
-        of(F.col("kind") == "ADD", F.lit(1)).alias("adds"),
-        of(F.col("kind") == "CANCEL", F.lit(1)).alias("cancels"),
-    )
+    sums = {
+        "buy": of(trade & (F.col("side") == "BUY"), F.col("qty")),
+        "sell": of(trade & (F.col("side") == "SELL"), F.col("qty")),
+        "trades": of(trade, F.lit(1)),
+        "adds": of(F.col("kind") == "ADD", F.lit(1)),
+        "cancels": of(F.col("kind") == "CANCEL", F.lit(1)),
+    }
+    x = windows.trailing(_minute(M.events(spark, sf_dir)), ["symbol"], "t", "seq", SPAN, sums).select("symbol", "seq", *sums)
+    rates = {f"{c}_per_s": micro(F.col(c) / F.lit(SPAN / 1e9)) for c in ("trades", "adds", "cancels")}
+    x = x.withColumns(rates)
     total = F.col("buy") + F.col("sell")
     return x.withColumn("imbalance", F.when(total > 0, micro((F.col("buy") - F.col("sell")) / total)))
 
@@ -176,13 +179,14 @@ def rolling_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLOW = f"""WITH {M.EVENTS}, z AS (SELECT symbol, seq, t - t % {HOUR * 2} AS t, kind, side, qty FROM ev),
 s AS (SELECT symbol, seq, {_trailing_sql("CASE WHEN b.kind = 'TRADE' AND b.side = 'BUY' THEN b.qty END", 'buy')}, {_trailing_sql("CASE WHEN b.kind = 'TRADE' AND b.side = 'SELL' THEN b.qty END", 'sell')},
   {_trailing_sql("CASE WHEN b.kind = 'TRADE' THEN 1 END", 'trades')}, {_trailing_sql("CASE WHEN b.kind = 'ADD' THEN 1 END", 'adds')}, {_trailing_sql("CASE WHEN b.kind = 'CANCEL' THEN 1 END", 'cancels')} FROM z a)
-SELECT *, CASE WHEN buy + sell > 0 THEN CAST(floor((buy - sell)::DOUBLE / (buy + sell) * 1e6 + 0.5) AS BIGINT) END AS imbalance FROM s"""
+SELECT *, {', '.join(f"CAST(floor({c} / {SPAN / 1e9!r}::DOUBLE * 1e6 + 0.5) AS BIGINT) AS {c}_per_s" for c in ('trades', 'adds', 'cancels'))},
+  CASE WHEN buy + sell > 0 THEN CAST(floor((buy - sell)::DOUBLE / (buy + sell) * 1e6 + 0.5) AS BIGINT) END AS imbalance FROM s"""
 
 
 def cumulative_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     traded = F.when(F.col("kind") == "TRADE", F.col("qty")).otherwise(0)
     updates = F.when(F.col("kind").isin("ADD", "CANCEL"), 1).otherwise(0)
-    return M.events(spark, sf_dir).select("symbol", "seq", windows.cumulative(traded, "symbol", "t", "seq").alias("volume"), windows.cumulative(updates, "symbol", "t", "seq").alias("book_updates"))
+    return windows.cumulative(M.events(spark, sf_dir), ["symbol"], ["t", "seq"], {"volume": traded, "book_updates": updates}).select("symbol", "seq", "volume", F.col("book_updates").cast("long").alias("book_updates"))
 
 
 CUMULATIVE = f"""WITH {M.EVENTS} SELECT symbol, seq, CAST(sum(CASE WHEN kind = 'TRADE' THEN qty ELSE 0 END) OVER w AS BIGINT) AS volume, CAST(sum(CASE WHEN kind IN ('ADD', 'CANCEL') THEN 1 ELSE 0 END) OVER w AS BIGINT) AS book_updates
@@ -190,8 +194,8 @@ FROM ev WINDOW w AS (PARTITION BY symbol ORDER BY t, seq ROWS BETWEEN UNBOUNDED
 
 
 def last_trade_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trade = windows.known(F.when(F.col("kind") == "TRADE", F.struct("t", "price", "qty", "side")), "symbol", "t", "seq")
-    x = M.events(spark, sf_dir).withColumn("last", trade)
+    trade = F.when(F.col("kind") == "TRADE", F.struct("t", "price", "qty", "side"))
+    x = windows.known(M.events(spark, sf_dir), ["symbol"], ["t", "seq"], {"last": trade})
     fresh = F.col("last.t") >= F.col("t") - SPAN
     return x.select("symbol", "seq", *[F.when(fresh, F.col(f"last.{c}")).alias(f"last_{c}") for c in ("price", "qty", "side")])
 
@@ -208,7 +212,7 @@ def microprice_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
         "symbol",
         "seq",
         (c("ask") - c("bid")).alias("spread"),
-        micro((c("ask") - c("bid")) / (c("mid2") / 2) * 1e4).alias("spread_bps"),
+        F.when(c("mid2") > 0, micro((c("ask") - c("bid")) / (c("mid2") / 2) * 1e4)).alias("spread_bps"),
         micro((c("bid") * c("ask_qty") + c("ask") * c("bid_qty")) / size).alias("microprice"),
         micro((c("bid_qty") - c("ask_qty")) / size).alias("imbalance"),
         (c("bid") > c("ask")).alias("crossed"),
@@ -217,7 +221,7 @@ def microprice_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MICROPRICE = f"""WITH {M.QUOTES}
-SELECT symbol, seq, ask - bid AS spread, CAST(floor((ask - bid) / (mid2::DOUBLE / 2) * 1e4 * 1e6 + 0.5) AS BIGINT) AS spread_bps,
+SELECT symbol, seq, ask - bid AS spread, CASE WHEN mid2 > 0 THEN CAST(floor((ask - bid) / (mid2::DOUBLE / 2) * 1e4 * 1e6 + 0.5) AS BIGINT) END AS spread_bps,
   CAST(floor((bid * ask_qty + ask * bid_qty)::DOUBLE / (bid_qty + ask_qty) * 1e6 + 0.5) AS BIGINT) AS microprice, CAST(floor((bid_qty - ask_qty)::DOUBLE / (bid_qty + ask_qty) * 1e6 + 0.5) AS BIGINT) AS imbalance,
   bid > ask AS crossed, bid = ask AS locked
 FROM qu WHERE mid2 IS NOT NULL"""
@@ -240,8 +244,8 @@ QUERIES = {
     "asof_backward_strict": _asof("backward", False),
     "asof_forward": _asof("forward", True),
     "implementation_shortfall": (implementation_shortfall, f"WITH {M.COSTS} SELECT run_id, requested, filled, shortfall FROM co"),
-    "fees_bps": (fees_bps, f"WITH {M.COSTS} SELECT run_id, fees FROM co"),
-    "signed_cost": (signed_cost, f"WITH {M.COSTS} SELECT run_id, side, vs_arrival, vs_terminal, vs_mid FROM co"),
+    "fees_bps": (fees_bps, f"WITH {M.COSTS} SELECT run_id, fees_requested, fees FROM co"),
+    "signed_cost": (signed_cost, f"WITH {M.COSTS} SELECT run_id, side, vs_arrival, vs_vwap, vs_twap, vs_terminal FROM co"),
     "event_ofi": (event_ofi, f"WITH {TOUCH} SELECT symbol, seq, ofi FROM of"),
     "rolling_ofi": (rolling_ofi, ROLLING_OFI),
     "realized_vol": (realized_vol, VOL),
