@@ -330,6 +330,32 @@ def _filters(x: str, y: str, percent: int) -> Column:
     return length & (F.least(nx - c(x, "place"), ny - c(y, "place")) >= _needed(nx, ny, percent))
 
 
+def _of_keys(sig: DataFrame, keys: DataFrame, bloom_bits: int) -> tuple[DataFrame, object]:
+    """Signatures of given classes, and some others where a Bloom filter tells them (to be destroyed
+    by the caller); joined where there are too many for one. Either is no larger than it must be,
+    so that what is shuffled next grows with the keys, not with the corpus."""
+
+    def hashed(batch: pa.RecordBatch) -> np.ndarray:
+        return _words.mix(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, 2)[:, 0])
+
+    n = keys.count()
+    if n * 10 > 1 << bloom_bits:
+        return sig.join(keys, "key", "left_semi"), None
+
+    def hashes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(hashed(batch).view(np.int64))], names=["hash"])
+
+    bits = min(bloom_bits, max(10, (n * 16).bit_length()))
+    known = sig.sparkSession.sparkContext.broadcast(repeats._bloom(keys.mapInArrow(_tables.lean(hashes), "hash long"), bits))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.take(pa.array(np.flatnonzero(repeats._in_bloom(hashed(batch), known.value, bits))))
+
+    return sig.select("key", *[c for c in sig.columns if c != "key"]).mapInArrow(_tables.lean(run), sig.schema), known
+
+
 def _suffix_filter(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     """Pairs whose tokens fall into hash bins with enough overlap."""
     side = lambda name, k: sig.select(F.col("key").alias(name), F.col("n").alias(f"n{k}"), F.col("bins").alias(f"bins{k}"))
@@ -345,15 +371,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= whole * percent).select("a", "b")
 
 
-def _split_hot(now: DataFrame, sig: DataFrame, percent: int, hot: int) -> DataFrame:
+def _split_hot(now: DataFrame, sig: DataFrame, hot: int, bloom_bits: int) -> tuple[DataFrame, object]:
     """Rows of tokens with labels to pair, with ``second``: 0, or for tokens of more than ``hot``
-    rows one row for each token that may be the next one two linked sets share."""
+    rows one row for each token that may be the next one two linked sets share. And a broadcast."""
     tokens = now.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("m")).where("l1 <> l2").select("token", "m")
     mine = _tables.stored(now.join(tokens, "token"), "open")
     cold = mine.where(F.col("m") <= hot).withColumn("second", F.lit(0).cast("long")).drop("m")
-    later = sig.select("key", F.posexplode("tokens").alias("next", "second"))
-    wide = mine.where(F.col("m") > hot).drop("m").join(later, "key").where("next > place").drop("next")
-    return cold.unionByName(wide.select(cold.columns))
+    wide = mine.where(F.col("m") > hot).drop("m")
+    few, sent = _of_keys(sig, wide.select("key").distinct(), bloom_bits)
+    later = few.select("key", F.posexplode("tokens").alias("next", "second"))
+    wide = wide.join(later, "key").where("next > place").drop("next")
+    return cold.unionByName(wide.select(cold.columns)), sent
 
 
 def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, text: str, doc_id: str, bloom_bits: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -382,8 +410,12 @@ def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, te
     def check(pairs: DataFrame) -> None:
         nonlocal labels, links, done
         pairs = pairs.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
-        pairs = _suffix_filter(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), sig, percent)
-        pairs = _tables.stored(pairs, "pairs")
+        near = _tables.stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "near")
+        few, sent = _of_keys(sig.select("key", "n", "bins"), near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct(), bloom_bits)
+        pairs = _tables.stored(_suffix_filter(near, few, percent), "pairs")
+        _tables.discard(near)
+        if sent is not None:
+            sent.destroy()
         asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         wanted = _tables.stored(asked.join(least, "key"), "wanted")
         whole, picked = _whole_sets(docs, wanted, shingle, bloom_bits)
@@ -399,19 +431,22 @@ def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, te
     for _ in range(rounds):
         now = labelled()
         pivot = F.min(F.struct("place", "n", "key", "label")).alias("p")
-        tokens = now.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), pivot).where("l1 <> l2").select("token", "p")
+        tokens = now.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), pivot, F.count("*").alias("m")).where("l1 <> l2").select("token", "p", "m")
         tokens = _tables.stored(tokens, "pivots")  # a plain side, so that a hot token can be dealt to several tasks
-        met = now.join(tokens, "token").where(F.col("key") != F.col("p.key")).select("token", "key", "n", "place", "label", "p")
+        met = now.join(tokens, "token").where(F.col("key") != F.col("p.key")).select("token", "key", "n", "place", "label", "p", "m")
         met = _tables.stored(met, "met")
         _tables.discard(tokens)
         both = met.select(F.struct("n", "place", "label", "key").alias("x"), F.col("p").alias("y"))
         pairs = both.where((F.col("x.label") != F.col("y.label")) & _filters("x", "y", percent))
         check(pairs.select(F.col("x.key").alias("k1"), F.col("y.key").alias("k2")))
         _tables.discard(live)
-        live = met.select("token", "key", "n", "place")
+        live = met.where("m > 2").select("token", "key", "n", "place")  # of two, nobody is left to meet
         _tables.rename(met, live)
 
-    rest = _tables.stored(_split_hot(_tables.stored(labelled(), "labelled"), sig, percent, hot), "rest")
+    split, sent = _split_hot(_tables.stored(labelled(), "labelled"), sig, hot, bloom_bits)
+    rest = _tables.stored(split, "rest")
+    if sent is not None:
+        sent.destroy()
     sizes = rest.groupBy("token", "second", "label").count()
     majors = sizes.groupBy("token", "second").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("token", "second", F.col("m.label").alias("major"))
     majors = _tables.stored(majors, "majors")
