@@ -142,9 +142,14 @@ def _grams(line: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _support(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams and how many lines have each."""
-    each = [np.unique(_grams(x)[0]) for x in lines]
-    return np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    """Distinct n-grams and how many lines have each; merged by 100 lines, so few are held twice."""
+    grams, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    for k in range(0, len(lines), 100):
+        new, n = np.unique(np.concatenate([np.unique(_grams(x)[0]) for x in lines[k : k + 100]]), return_counts=True)
+        every, of = np.unique(np.concatenate([grams, new]), return_inverse=True)
+        counts = np.bincount(of, weights=np.concatenate([counts, n]), minlength=len(every)).astype(np.int64)
+        grams = every
+    return grams, counts
 
 
 def dictionaries(toxic: list[str | None], ordinary: list[str | None]) -> tuple[bytes, bytes]:
