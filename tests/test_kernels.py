@@ -140,5 +140,5 @@ def test_interval_join_and_trailing(spark):
     found = {(r.run, r.t) for r in asof.interval_join(points, spans, ["k"], "t", "a", "b", 10).collect()}
     assert found == {(run, t) for run, a, b in ((0, 0, 35), (1, 34, 64)) for t in range(0, 100, 7) if a <= t <= b}
     rows = spark.createDataFrame([(1, 0, 1, 10), (1, 0, 2, 20), (1, 5, 3, 5)], "k long, t long, s long, v long")
-    got = [r.x for r in rows.select("s", windows.trailing(F.col("v"), "k", "t", "s", 5).alias("x")).orderBy("s").collect()]
+    got = [r.x for r in windows.trailing(rows, ["k"], "t", "s", 5, {"x": F.col("v")}).orderBy("s").collect()]
     assert got == [10, 30, 35]
