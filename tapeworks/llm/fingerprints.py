@@ -23,6 +23,8 @@ K, S, SKETCH = 4, 2, 128
 UNIT = "[^\\x20\\x09-\\x0D]{1,16}"
 #: Documents of neighbouring ids that one window group holds on average.
 BUCKET_ROWS = 256
+#: Quantiles of ids between which rows are dealt.
+SEGMENTS = 128
 
 
 def _let(value: Column, body) -> Column:
@@ -84,17 +86,29 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("fingerprint", as_text(sketch(F.col(text))))
 
 
+@_tables.shielded()
 def with_next(docs: DataFrame, carried: list[str], doc_id: str = "doc_id") -> DataFrame:
     """Each row with the ``carried`` columns of the next row by descending doc_id (after the
     last the first), as ``next_*``; equal ids go by the carried columns, null ids come last.
 
-    Rows are dealt by ranges of ids into buckets, one shuffle; the first and last rows of the
-    buckets, a few in each thousand, meet by the list of buckets that have rows.
+    Rows are dealt by ranges of ids into buckets, one shuffle: between ``SEGMENTS`` quantiles of the
+    ids, and in equal widths inside each, so that an id far from the others stretches one segment
+    alone. The first and last rows of the buckets, a few in each thousand, meet by the list of
+    buckets that have rows.
     """
-    bounds = docs.agg(F.min(doc_id).alias("a"), F.max(doc_id).alias("b"), F.count("*").alias("n")).first()
-    low, high = float(bounds.a or 0), float(bounds.b or 0)
-    width = max(1.0, (high - low + 1) * BUCKET_ROWS / max(1, bounds.n))
-    bucket = F.coalesce(F.floor((F.col(doc_id).cast("double") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
+    shares = F.array(*[F.lit(k / SEGMENTS) for k in range(1, SEGMENTS)])
+    facts = docs.agg(F.min(doc_id).alias("a"), F.max(doc_id).alias("b"), F.count("*").alias("n"), F.percentile_approx(doc_id, shares, 10 * SEGMENTS).alias("q")).first()
+    starts = sorted({facts.a or 0, *(facts.q or [])})  # SEGMENTS at most
+    per = max(1, -(-facts.n // (len(starts) * BUCKET_ROWS)))
+    bounds, ends = F.array(*[F.lit(x).cast("long") for x in starts]), F.array(*[F.lit(x).cast("long") for x in [*starts[1:], (facts.b or 0) + 1]])
+    segment = F.size(F.filter(bounds, lambda x: x <= F.col(doc_id))) - 1
+
+    def inside(s: Column) -> Column:
+        low, high = F.get(bounds, s), F.get(ends, s)
+        part = F.floor((F.col(doc_id) - low).cast("double") * per / (high - low).cast("double"))
+        return s.cast("long") * per + F.least(part, F.lit(per - 1)).cast("long")
+
+    bucket = F.when(F.col(doc_id).isNull(), F.lit(-1).cast("long")).otherwise(_let(segment, inside))
     rows = docs.withColumn("__bucket", bucket)
     by_id = Window.partitionBy("__bucket").orderBy(F.col(doc_id).desc_nulls_last(), *[F.col(c).desc() for c in carried if c in docs.columns])
     columns = {f"next_{c}": F.lead(c).over(by_id) for c in carried}
