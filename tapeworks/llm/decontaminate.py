@@ -45,34 +45,48 @@ _BITS = 22
 
 
 class WindowSet:
-    """The distinct windows of items (id, text), by length; immutable once built."""
+    """The windows of items (id, text), by length, as sorted hashes over the items' own bytes:
+    some 50 bytes a word, whatever the windows share. Hits are verified byte by byte."""
 
     def __init__(self, items: list[tuple[str, str | None]], size: int) -> None:
         self.ids = [i for i, _ in items]
         words = _words.split(pa.array([t for _, t in items], pa.string()), _words.ALNUM, lower=True)
+        self.data, self.begin, self.end, self.owner = words.data, words.begin, words.end, words.doc.astype(np.int32)
         self.by_size: dict[int, tuple] = {}
+        self.same: dict[tuple[int, int], list[tuple[bytes, set[int]]]] = {}
         grouped: dict[int, list[np.ndarray]] = defaultdict(list)
         for k, n in enumerate(words.counts):
             if n:
                 here = int(words.first[k])
                 grouped[min(int(n), size)].append(np.arange(here, here + max(1, int(n) - size + 1)))
-        owner = words.doc
         for length, starts in grouped.items():
             at = np.concatenate(starts)
             keys = words.window_hash(at, length)
-            found: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(dict)
-            for key, a in zip(keys.tolist(), at.tolist()):
-                found[key].setdefault(tuple(words.word(j) for j in range(a, a + length)), set()).add(int(owner[a]))
-            hashes = np.array(sorted(found), dtype=np.uint64)
+            order = np.argsort(keys, kind="stable")
             bits = np.zeros(1 << _BITS, dtype=bool)
-            bits[hashes >> np.uint64(64 - _BITS)] = True
-            self.by_size[length] = (bits, hashes, dict(found))
+            bits[keys >> np.uint64(64 - _BITS)] = True
+            self.by_size[length] = (bits, keys[order], at[order])
+
+    def _line(self, a: int, length: int) -> bytes:
+        raw, begin, end = self.data, self.begin, self.end
+        return b" ".join([raw[begin[j] : end[j]].tobytes() for j in range(a, a + length)])
+
+    def _owners(self, length: int, place: int) -> list[tuple[bytes, set[int]]]:
+        """The different windows of one hash, from its first place on, with their items; kept."""
+        known = self.same.get((length, place))
+        if known is None:
+            _, hashes, starts = self.by_size[length]
+            found: dict[bytes, set[int]] = defaultdict(set)
+            for a in starts[place : np.searchsorted(hashes, hashes[place], side="right")].tolist():
+                found[self._line(a, length)].add(int(self.owner[a]))
+            known = self.same[length, place] = list(found.items())
+        return known
 
     def occurrences(self, words: _words.Words) -> tuple[np.ndarray, dict[int, set[int]]]:
         """Which words lie inside an occurrence, and the items by document."""
         depth = np.zeros(len(words.begin) + 1, dtype=np.int64)
         items: dict[int, set[int]] = defaultdict(set)
-        for length, (bits, hashes, found) in self.by_size.items():
+        for length, (bits, hashes, _) in self.by_size.items():
             at = words.windows(length)
             if not len(at):
                 continue
@@ -81,14 +95,16 @@ class WindowSet:
             if not len(maybe):
                 continue
             place = np.minimum(np.searchsorted(hashes, keys[maybe]), len(hashes) - 1)
-            maybe = maybe[hashes[place] == keys[maybe]]
+            hit = hashes[place] == keys[maybe]
+            maybe, place = maybe[hit], place[hit]
             docs = np.searchsorted(words.first, at[maybe], side="right") - 1
-            for key, a, doc in zip(keys[maybe].tolist(), at[maybe].tolist(), docs.tolist()):
-                owners = found[key].get(tuple(words.word(j) for j in range(a, a + length)))
-                if owners is not None:
-                    depth[a] += 1
-                    depth[a + length] -= 1
-                    items[doc] |= owners
+            for p, a, doc in zip(place.tolist(), at[maybe].tolist(), docs.tolist()):
+                line = b" ".join([words.word(j) for j in range(a, a + length)])
+                for other, owners in self._owners(length, p):
+                    if other == line:
+                        depth[a] += 1
+                        depth[a + length] -= 1
+                        items[doc] |= owners
         return np.cumsum(depth[:-1]) > 0, items
 
 
@@ -159,6 +175,7 @@ def _pass(frame: DataFrame, text: str, windows, share: int, last: str | None) ->
     return _tables.scan_texts(frame, text, fields, make, keep=keep, also=own)
 
 
+@_tables.shielded()
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -181,7 +198,7 @@ def decontaminate(
     out = docs
     for b in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        windows = spark.sparkContext.broadcast(WindowSet([(r.i, r.t) for r in mine.collect()], size))
+        windows = spark.sparkContext.broadcast(WindowSet([(r.i, r.t) for r in mine.collect()], size))  # block_bytes of text
         out = _pass(out, text, windows, share, action if b == blocks - 1 else None)
         if b < blocks - 1:
             out = _tables.stored(out, "decontaminate")
