@@ -60,6 +60,7 @@ def rates(docs: DataFrame, weights: dict[str, float], other: float, total: float
     return {k: shares[k] * whole / (sum_w * n) if (n := sizes.get(k, 0)) else 0.0 for k in shares}
 
 
+@_tables.shielded()
 def mix(
     docs: DataFrame,
     weights: dict[str, float],
@@ -77,17 +78,14 @@ def mix(
     by_source = rates(docs, weights, other, total, source, text, unit)
     u = uniform(seed, F.col(doc_id))
 
-    def count(rate: float) -> Column:
-        steps = poisson_cdf(rate)
-        return F.size(F.filter(F.array(*map(F.lit, steps)), lambda t: t <= u)) if steps else F.lit(0)
-
-    counts = None
-    for name, rate in by_source.items():
-        if name is not None:
-            counts = (F if counts is None else counts).when(F.col(source) == name, count(rate))
-    counts = count(by_source[None]) if counts is None else counts.otherwise(count(by_source[None]))
-    names = [c for c in docs.columns if c not in ("copy", "shuffle_key", "__count")]
-    counted = docs.select(*names, counts.alias("__count")).where("__count > 0")
+    # a row per named source and one for the rest; a table, since a small source with a real weight
+    # has as many steps as copies of each document
+    steps = docs.sparkSession.createDataFrame([(k, poisson_cdf(rate)) for k, rate in by_source.items()], "__pool string, __steps array<double>")
+    named = [k for k in by_source if k is not None]
+    pool = F.when(F.col(source).isin(named), F.col(source)) if named else F.lit(None).cast("string")
+    counts = F.size(F.filter(F.coalesce("__steps", F.array().cast("array<double>")), lambda t: t <= u))
+    names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    counted = docs.join(F.broadcast(steps), pool.eqNullSafe(F.col("__pool")), "left").select(*names, counts.alias("__count")).where("__count > 0")
     copies = counted.select(*names, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__count").cast("long") - 1)).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), "copy"))
     return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
