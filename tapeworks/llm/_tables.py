@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -18,9 +19,12 @@ from tapeworks.llm import _words
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder in spark.checkpoint.dir; where that is unset, one machine (tests) sets a
+    temporary one, and a cluster raises."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tapeworks-")
         spark.conf.set("spark.checkpoint.dir", known)
     if not spark.sparkContext.getCheckpointDir():
@@ -95,6 +99,28 @@ def lean(run):
     return wrapped
 
 
+def shielded(reserved: str = "__"):
+    """For operators (frame, ...) -> frame that name their own columns with ``reserved`` in front:
+    such columns of the input have another name inside and their own again in the result."""
+
+    def around(operator):
+        @functools.wraps(operator)
+        def run(frame: DataFrame, *args, **kwargs):
+            mine = [c for c in frame.columns if c.startswith(reserved) and c not in [*args, *kwargs.values()]]
+            if not mine:
+                return operator(frame, *args, **kwargs)
+            stem = "own"
+            while any(c.startswith(stem) for c in frame.columns):
+                stem += "_"
+            inside = {c: f"{stem}{k}" for k, c in enumerate(mine)}
+            out = operator(frame.withColumnsRenamed(inside), *args, **kwargs)
+            return out.withColumnsRenamed({v: k for k, v in inside.items()})
+
+        return run
+
+    return around
+
+
 def scan_texts(
     frame: DataFrame,
     text: str,

@@ -475,6 +475,7 @@ def jaccard_components(
     return result.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+@_tables.shielded()
 def keep_one(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS, text: str = "text", doc_id: str = "doc_id", bloom_bits: int = repeats.BLOOM_BITS
 ) -> DataFrame:

@@ -17,7 +17,7 @@ own windows and all texts are joined. Either way all windows of all texts are ju
 
 Null texts have no words. Rows with a null doc_id keep all words and remove none. Rows with
 one doc_id don't remove from one another and each keep a row. Texts under ``size`` words
-stay whole. Columns named like new ones are replaced; one named ``__places`` is refused.
+stay whole. Columns named like new ones are replaced.
 """
 
 from __future__ import annotations
@@ -239,6 +239,7 @@ def _windows_by_join(docs: DataFrame, firsts: _Firsts, shared: DataFrame, size:
     return docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_tables.lean(run), _WINDOWS)
 
 
+@_tables.shielded()
 def repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id: str = "doc_id", bloom_bits: int = BLOOM_BITS, action: str = "report") -> DataFrame:
     """report: the rows with FIELDS (spans count words). text: each text becomes its kept words,
     joined by one space; null stays null."""
@@ -246,8 +247,6 @@ def repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id: str =
         raise ValueError(f"windows need {PERIOD} words at least, not {size}")
     if action not in ("report", "text"):
         raise ValueError(f"action must be 'report' or 'text', not {action!r}")
-    if clash := {"__places"} & set(docs.columns):
-        raise ValueError(f"columns that this operator uses itself: {sorted(clash)}")
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")

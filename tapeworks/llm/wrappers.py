@@ -419,6 +419,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return _tables.stored(common.groupBy("grp").agg(F.sort_array(F.collect_list("key")).alias("constants")).join(trees, "grp"), "wrappers")
 
 
+@_tables.shielded()
 def main_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """All columns, with ``text`` and ``n_chars``."""
     named = pages.withColumn("__host", host(F.col(url)))
