@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.plans import analytics, books, costmodel, labels, orders, research, series, simulation, validation
+from tapeworks.plans import analytics, books, costmodel, experiments, labels, orders, research, series, simulation, validation
 
-ALL = analytics.QUERIES | series.QUERIES | books.QUERIES | research.QUERIES | simulation.QUERIES | validation.QUERIES | orders.QUERIES | costmodel.QUERIES | labels.QUERIES
+ALL = analytics.QUERIES | series.QUERIES | books.QUERIES | research.QUERIES | simulation.QUERIES | validation.QUERIES | orders.QUERIES | costmodel.QUERIES | labels.QUERIES | experiments.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

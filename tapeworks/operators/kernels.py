@@ -106,16 +106,21 @@ class OrderBook:
         self._set(order_id, have - gone)
         return gone
 
-    def modify(self, order_id: int, qty: int) -> None:
-        """A smaller size keeps its place; a larger one goes to the back."""
+    def modify(self, order_id: int, qty: int, keep: bool = True) -> None:
+        """A new size: a smaller one keeps its place if it may; else the order goes to the back."""
+        if order_id not in self.orders:
+            raise BookError(f"no order {order_id}")
         side, price = self.orders[order_id]
         queue = self.queues[side, price]
-        if qty > queue[order_id]:
-            queue[order_id] = queue.pop(order_id) and qty
+        if qty > queue[order_id] or not keep and 0 < qty < queue[order_id]:
+            del queue[order_id]
+            queue[order_id] = qty
         else:
             self._set(order_id, qty)
 
     def replace(self, order_id: int, price: int, qty: int) -> None:
+        if order_id not in self.orders:
+            raise BookError(f"no order {order_id}")
         side, _ = self.orders[order_id]
         self.cancel(order_id)
         self.add(order_id, side, price, qty)
@@ -180,6 +185,59 @@ class QueuePlace:
         self.ahead -= min(self.ahead, qty)
 
 
+class ExactQueue:
+    """Our order behind orders known by id. An execution that names one of them shrinks it; one that
+    names another reaches us only when nothing is ahead; one that names none works from the front."""
+
+    def __init__(self, side: str, price: int, qty: int, ahead: list[tuple[int, int]]) -> None:
+        self.side, self.price, self.remaining = side, price, qty
+        self.orders = dict(ahead)
+
+    @property
+    def ahead(self) -> int:
+        return sum(self.orders.values())
+
+    def _reach(self, qty: int) -> int:
+        fill = min(self.remaining, qty)
+        self.remaining -= fill
+        return fill
+
+    def _shrink(self, order_id: int, qty: int) -> int:
+        gone = min(self.orders[order_id], qty)
+        self.orders[order_id] -= gone
+        if not self.orders[order_id]:
+            del self.orders[order_id]
+        return gone
+
+    def trade(self, qty: int, order_id: int | None = None) -> int:
+        """What of the execution fills us."""
+        if order_id is not None:
+            if order_id in self.orders:
+                self._shrink(order_id, qty)
+                return 0
+            return 0 if self.orders else self._reach(qty)
+        while self.orders and qty > 0:
+            qty -= self._shrink(next(iter(self.orders)), qty)
+        return self._reach(qty) if not self.orders and qty > 0 else 0
+
+    def cancelled(self, qty: int, order_id: int | None) -> None:
+        if order_id is None:
+            raise PermissionError("an exact queue needs the id of the order that is cancelled")
+        if order_id in self.orders:
+            self._shrink(order_id, qty)
+
+
+def queue_place(mode: str, side: str, price: int, qty: int, level: int = 0, ahead: list[tuple[int, int]] | None = None):
+    """An approximate place behind a level's size, or an exact one behind known orders."""
+    if mode == "APPROXIMATE":
+        return QueuePlace(side, price, qty, max(level, 0))
+    if mode == "EXACT":
+        if ahead is None:
+            raise PermissionError("an exact queue needs orders by id")
+        return ExactQueue(side, price, qty, ahead)
+    raise ValueError(f"mode must be APPROXIMATE or EXACT, not {mode!r}")
+
+
 def weights(policy: str, slices: int, profile: list[float] | None = None, kappa: float = 0.02) -> list[float]:
     """Shares of a parent order by slice; profile: an earlier session's volume shares."""
     if policy == "twap":

@@ -69,33 +69,73 @@ def simulate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four policies in two styles over every session: a grid of runs, one state machine each."""
     e = _stream(spark, sf_dir)
     bounds = e.groupBy("symbol").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    grid = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(s).alias("style")) for p in ("twap", "vwap", "pov", "is") for s in ("passive", "aggressive")]))
-    runs = e.join(bounds, "symbol").select("*", grid.alias("run")).select("symbol", "t", "seq", "kind", "side", "price", "qty", "first", "last", "run.*", F.concat_ws(":", "symbol", "run.policy", "run.style").alias("key"))
+    runs = e.join(F.broadcast(bounds), "symbol")  # a row per session
+    cells = [(p, s) for p in ("twap", "vwap", "pov", "is") for s in ("passive", "aggressive")]
 
-    def make(key):
+    def make(symbol):
         state: list[kernels.Execution] = []
 
         def step(r):
             if not state:
                 width = r["last"] - r["first"]
-                parent = kernels.Parent("BUY", 300, r["first"] + width // 4, r["first"] + 3 * width // 4, r["policy"], r["style"], 10, 500_000, 0.1, width // 40, width // 20, profile=[1.0, 2.0, 3.0, 2.0])
-                state.append(kernels.Execution(parent))
-            state[0].event(r["t"], r["kind"], r["side"], r["price"], r["qty"])
+                for policy, style in cells:
+                    parent = kernels.Parent("BUY", 300, r["first"] + width // 4, r["first"] + 3 * width // 4, policy, style, 10, 500_000, 0.1, width // 40, width // 20, profile=[1.0, 2.0, 3.0, 2.0])
+                    state.append(kernels.Execution(parent))
+            for x in state:
+                x.event(r["t"], r["kind"], r["side"], r["price"], r["qty"])
             return []
 
         def end():
-            x = state[0]
-            x.finish()
-            symbol, policy, style = key.split(":")
-            notional = sum(p * q for _, p, q, _ in x.fills)
-            maker = sum(q for *_, q, kind in x.fills if kind == "MAKER")
-            average = notional / x.filled if x.filled else None
-            bps = (average - x.arrival2 / 2) / (x.arrival2 / 2) * 1e4 if average is not None and x.arrival2 else None
-            return [(int(symbol), policy, style, x.p.quantity, x.filled, maker, len(x.fills), average, bps)]
+            out = []
+            for (policy, style), x in zip(cells, state):
+                x.finish()
+                notional = sum(p * q for _, p, q, _ in x.fills)
+                maker = sum(q for *_, q, kind in x.fills if kind == "MAKER")
+                average = notional / x.filled if x.filled else None
+                bps = (average - x.arrival2 / 2) / (x.arrival2 / 2) * 1e4 if average is not None and x.arrival2 else None
+                out.append((symbol, policy, style, x.p.quantity, x.filled, maker, len(x.fills), average, bps))
+            return out
 
         return step, end
 
-    return kernels.per_key(runs, "key", ["t", "seq"], make, "symbol long, policy string, style string, requested long, filled long, maker long, n_fills long, average double, cost_bps double")
+    return kernels.per_key(runs, "symbol", ["t", "seq"], make, "symbol long, policy string, style string, requested long, filled long, maker long, n_fills long, average double, cost_bps double")
+
+
+def queue_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order by order: an order of 500 joins the bid level of each session's thirtieth buy ADD, behind
+    the orders that rest there. A cancel names a resting order of its level by the event's number."""
+
+    def make(symbol):
+        book, held, seen, filled = kernels.OrderBook(), [], [0], [0]
+
+        def step(r):
+            side, price, key = r["side"], r["price"], (r["side"], r["price"])
+            mine = held[0] if held else None
+            here = mine is not None and (mine.side, mine.price) == key
+            if r["kind"] == "ADD":
+                book.add(r["seq"], side, price, r["qty"])
+                if side == "BUY":
+                    seen[0] += 1
+                    if seen[0] == 30:
+                        held.append(kernels.queue_place("EXACT", side, price, 500, ahead=list(book.queues[key].items())))
+            elif r["kind"] == "CANCEL" and book.queues.get(key):
+                resting = list(book.queues[key])
+                order = resting[r["seq"] % len(resting)]
+                gone = book.cancel(order, min(r["qty"], book.queues[key][order]))
+                if here:
+                    mine.cancelled(gone, order)
+            elif r["kind"] == "TRADE":
+                resting = ("SELL" if side == "BUY" else "BUY", price)
+                there = sum(book.queues.get(resting, {}).values())
+                if mine is not None and (mine.side, mine.price) == resting:
+                    filled[0] += mine.trade(r["qty"])
+                if there:
+                    book.trade(*resting, min(r["qty"], there))
+            return []
+
+        return step, lambda: [(symbol, q.price, q.ahead, filled[0], q.remaining, len(book.orders)) for q in held]
+
+    return kernels.per_key(_stream(spark, sf_dir), "symbol", ["t", "seq"], make, "symbol long, price long, ahead long, filled long, remaining long, resting long")
 
 
-QUERIES = {"book_replay": (book_replay, None), "queue_neutral": (queue_neutral, None), "simulate_runs": (simulate_runs, None)}
+QUERIES = {"book_replay": (book_replay, None), "queue_neutral": (queue_neutral, None), "queue_exact": (queue_exact, None), "simulate_runs": (simulate_runs, None)}
