@@ -15,6 +15,7 @@ doc_ids come first; further columns are not read; an empty table gives an empty
 from __future__ import annotations
 
 import contextlib
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -310,28 +311,35 @@ def decode(planes: list[bytes], n: int) -> np.ndarray:
     return from_planes([unpacker.decompress(p) for p in planes], n)
 
 
-def crc_joined(first: int, second: int, length: int) -> int:
-    """crc32 of a + b from crc32(a), crc32(b) and len(b): shift a's by len(b) zero bytes."""
+def _times(matrix: tuple[int, ...], vector: int) -> int:
+    out, k = 0, 0
+    while vector:
+        if vector & 1:
+            out ^= matrix[k]
+        vector >>= 1
+        k += 1
+    return out
 
-    def times(matrix: list[int], vector: int) -> int:
-        out, k = 0, 0
-        while vector:
-            if vector & 1:
-                out ^= matrix[k]
-            vector >>= 1
-            k += 1
-        return out
 
-    shift = [0xEDB88320, *(1 << k for k in range(31))]  # one zero bit
+@functools.lru_cache(maxsize=4096)
+def _shift(length: int) -> tuple[int, ...]:
+    """What ``length`` zero bytes do to a crc32, as a matrix of bits; blocks have few lengths."""
+    step = (0xEDB88320, *(1 << k for k in range(31)))  # one zero bit
     for _ in range(3):
-        shift = [times(shift, row) for row in shift]  # one zero byte
+        step = tuple(_times(step, row) for row in step)  # one zero byte
+    out = tuple(1 << k for k in range(32))
     while length:
         if length & 1:
-            first = times(shift, first)
+            out = tuple(_times(step, row) for row in out)
         length >>= 1
         if length:
-            shift = [times(shift, row) for row in shift]
-    return first ^ second
+            step = tuple(_times(step, row) for row in step)
+    return out
+
+
+def crc_joined(first: int, second: int, length: int) -> int:
+    """crc32 of a + b from crc32(a), crc32(b) and len(b): shift a's by len(b) zero bytes."""
+    return _times(_shift(length), first) ^ second
 
 
 _PIECES = T.StructType(
