@@ -63,10 +63,18 @@ def rename(held: DataFrame, by: DataFrame) -> None:
     _paths[by] = _paths.pop(held)
 
 
+def trim() -> None:
+    """Give what this process has freed back to the machine: large arrays leave holes behind."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Have the shuffle files of finished steps deleted now: Spark does it once the driver's
     collector has found their frames unreachable, which may be long after."""
-    gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 

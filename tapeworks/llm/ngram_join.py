@@ -177,13 +177,14 @@ class _Chosen:
     one of ids alone, before a text's set is made, and one of both. Beyond, rows are joined."""
 
     def __init__(self, docs: DataFrame, wanted: DataFrame, bloom_bits: int, ids_too: bool) -> None:
-        self.docs, self.wanted, self.bits = docs, wanted, bloom_bits
-        self.sparse = wanted.count() * 10 <= 1 << bloom_bits
+        n = wanted.count()
+        self.docs, self.wanted, self.bits = docs, wanted, repeats.sized(n, bloom_bits)
+        self.sparse = n * 10 <= 1 << bloom_bits
         self.both = self.ids = None
         if self.sparse:
             send = docs.sparkSession.sparkContext.broadcast
-            self.both = send(repeats._bloom(self._hashes("key", "doc_id"), bloom_bits))
-            self.ids = send(repeats._bloom(self._hashes("doc_id"), bloom_bits)) if ids_too else None
+            self.both = send(repeats._bloom(self._hashes("key", "doc_id"), self.bits))
+            self.ids = send(repeats._bloom(self._hashes("doc_id"), self.bits)) if ids_too else None
 
     def _hashes(self, *names: str) -> DataFrame:
         def run(batches):
@@ -295,11 +296,13 @@ def _live_rows(sig: DataFrame, percent: int, bloom_bits: int) -> DataFrame:
     spark = sig.sparkSession
     prefix = F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100) - F.lit(1e-9)) + 1).cast("int"))
     shared = _tables.stored(sig.select(F.explode(prefix).alias("token")).groupBy("token").count().where("count > 1").select("token"), "shared-tokens")
-    if shared.count() * 10 > 1 << bloom_bits:
+    n_shared = shared.count()
+    bits = repeats.sized(n_shared, bloom_bits)
+    if n_shared * 10 > 1 << bloom_bits:
         out = _tables.stored(sig.select("key", "n", F.posexplode(prefix).alias("place", "token")).join(shared, "token").select("token", "key", "n", "place"), "prefixes")
         _tables.discard(shared)
         return out
-    known = spark.sparkContext.broadcast(repeats._bloom(shared, bloom_bits))
+    known = spark.sparkContext.broadcast(repeats._bloom(shared, bits))
 
     def run(batches):
         for batch in batches:
@@ -308,7 +311,7 @@ def _live_rows(sig: DataFrame, percent: int, bloom_bits: int) -> DataFrame:
             n = np.diff(lists.offsets.to_numpy())
             row = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
-            hit = np.flatnonzero(repeats._in_bloom(tokens, known.value, bloom_bits))
+            hit = np.flatnonzero(repeats._in_bloom(tokens, known.value, bits))
             mine = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays([pa.array(tokens[hit].view(np.int64)), *[batch.column(k).take(mine) for k in range(2)], pa.array(place[hit].astype(np.int32))], names=["token", "key", "n", "place"])
 
@@ -346,7 +349,7 @@ def _of_keys(sig: DataFrame, keys: DataFrame, bloom_bits: int) -> tuple[DataFram
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(hashed(batch).view(np.int64))], names=["hash"])
 
-    bits = min(bloom_bits, max(10, (n * 16).bit_length()))
+    bits = repeats.sized(n, bloom_bits)
     known = sig.sparkSession.sparkContext.broadcast(repeats._bloom(keys.mapInArrow(_tables.lean(hashes), "hash long"), bits))
 
     def run(batches):
@@ -397,6 +400,7 @@ def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, te
     sig = _tables.stored(signatures(docs, chosen, levels, shingle, percent, bits), "signatures")
     levels.destroy()
     chosen.close()
+    _tables.trim()
     live = _live_rows(sig, percent, bloom_bits)
     _tables.release_shuffles(spark)
     labels = links = done = None

@@ -73,6 +73,11 @@ def _slots(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(hashes + np.uint64(k) * step) >> np.uint64(64 - bits) for k in range(_PROBES)]
 
 
+def sized(n: int, most: int) -> int:
+    """Bits (as a power of two) of a filter of n things: 16 each or more, as far as ``most`` goes."""
+    return min(most, max(10, (16 * n).bit_length()))
+
+
 def _in_bloom(hashes: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
     out = np.ones(len(hashes), dtype=bool)
     for slot in _slots(hashes, bits):
@@ -125,9 +130,10 @@ class _Firsts:
 
         rows = docs.mapInArrow(_tables.lean(run), "doc_id long, k1 long, k2 long").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
         rows = _tables.stored(rows, "sequences")
-        self.bits, self.sent = bits, None
-        if rows.count() * 10 <= 1 << bits:
-            self.sent = docs.sparkSession.sparkContext.broadcast(_bloom(rows.select("k1", "k2", "doc_id").mapInArrow(_tables.lean(hashes), "hash long"), bits))
+        n = rows.count()
+        self.bits, self.sent = sized(n, bits), None
+        if n * 10 <= 1 << bits:
+            self.sent = docs.sparkSession.sparkContext.broadcast(_bloom(rows.select("k1", "k2", "doc_id").mapInArrow(_tables.lean(hashes), "hash long"), self.bits))
         _tables.discard(rows)
 
     def of(self, words: _words.Words, ids: np.ndarray) -> np.ndarray:
@@ -253,9 +259,10 @@ def repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id: str =
     firsts = _Firsts(named, bloom_bits)
     shared = _tables.stored(_anchor_hashes(named, firsts, size).groupBy("hash").count().where("count > 1").select("hash"), "shared-anchors")
     known = None
-    if shared.count() * 10 <= 1 << bloom_bits:
-        known = send(_bloom(shared, bloom_bits))
-        windows = _windows_by_bloom(named, firsts, known, size, bloom_bits)
+    n_shared = shared.count()
+    if n_shared * 10 <= 1 << bloom_bits:
+        known = send(_bloom(shared, sized(n_shared, bloom_bits)))
+        windows = _windows_by_bloom(named, firsts, known, size, sized(n_shared, bloom_bits))
     else:
         windows = _windows_by_join(named, firsts, shared, size)
     _tables.release_shuffles(spark)
@@ -270,18 +277,19 @@ def repeats(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id: str =
     if known is not None:
         known.destroy()
     _tables.release_shuffles(spark)
-    hits = None
-    if found.count() * 10 <= 1 << bloom_bits:
+    hits, n_found = None, found.count()
+    hit_bits = sized(n_found, bloom_bits)
+    if n_found * 10 <= 1 << bloom_bits:
 
         def hashed(batches):
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array(_id_hash(batch.column(0).to_numpy(zero_copy_only=False)).view(np.int64))], names=["hash"])
 
-        hits = send(_bloom(found.select("__doc").mapInArrow(_tables.lean(hashed), "hash long"), bloom_bits))
+        hits = send(_bloom(found.select("__doc").mapInArrow(_tables.lean(hashed), "hash long"), hit_bits))
 
     def may_have(part: pa.RecordBatch) -> np.ndarray:
         ids = part.column(part.schema.get_field_index(doc_id)).fill_null(-1).to_numpy(zero_copy_only=False)
-        return _in_bloom(_id_hash(ids), hits.value, bloom_bits)
+        return _in_bloom(_id_hash(ids), hits.value, hit_bits)
 
     def only(part: pa.RecordBatch) -> dict:
         return {None: np.flatnonzero(may_have(part))}

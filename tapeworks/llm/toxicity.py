@@ -245,7 +245,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     found = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("t")).join(chosen, "__id").select("t", "__y", F.md5(F.col("__id").cast("string")).alias("k"))
     n = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}  # two rows
     share = n.get(1, 0) / max(sum(n.values()), 1)
-    return learn([(r["t"], r["__y"]) for r in sorted(found.collect(), key=lambda r: (r["k"], r["t"] or "", r["__y"]))], share=share)
+    model = learn([(r["t"], r["__y"]) for r in sorted(found.collect(), key=lambda r: (r["k"], r["t"] or "", r["__y"]))], share=share)
+    _tables.trim()  # the sample and its n-grams
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
