@@ -95,3 +95,26 @@ def test_odd_texts(spark, frame):
     assert len(alone) == 1 and alone[0].near_next == 1.0
     assert P.anchors(docs.selectExpr("*", "1 AS place")).count() >= 1
     assert P.fingerprint(docs).where("fingerprint IS NULL").count() == 0
+
+
+def test_likeness_by_brute_force(spark, documents):
+    """near_edited and near_next against sketches made by definition."""
+    docs = documents.where("doc_id % 9 = 2").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    pairs = [(d, t, t[: len(t) - len(t) // 3] + after[: len(t) // 3], after) for (d, t), (_, after) in expected_next(rows)]
+    sets = iter(brute(spark, [x for p in pairs for x in p[1:]]))
+    least = lambda s: set(sorted(s)[: P.SKETCH])
+
+    def like(a, b):
+        whole = len(a) < P.SKETCH and len(b) < P.SKETCH
+        union = sorted(a | b) if whole else sorted(a | b)[: P.SKETCH]
+        return sum(x in a and x in b for x in union) / len(union)
+
+    got = {r.doc_id: r for r in P.compare_edited(docs).collect()}
+    checked = 0
+    for d, _, _, _ in pairs:
+        own, edited, after = (least(next(sets)) for _ in range(3))
+        if own and edited and after:  # shorter texts are one hash of the whole
+            assert got[d].near_edited == pytest.approx(like(own, edited), abs=1e-12) and got[d].near_next == pytest.approx(like(own, after), abs=1e-12)
+            checked += 1
+    assert checked > 10

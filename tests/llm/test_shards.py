@@ -58,3 +58,18 @@ def test_query(spark, sf, documents):
     found = shards.op9_shards(spark, sf)
     assert rows(found.select(documents.columns)) == rows(documents)
     assert found.where("manifest_version < 2 OR shard NOT LIKE 'm%'").count() == 0
+
+
+def test_merges_until_nothing_is_left_to_plan(spark, documents):
+    """What is planned is among the runs, merges into one that holds all its rows, and rows stay."""
+    s = store(spark, documents, fanout=2, target_bytes=50_000)
+    for k in range(4):
+        s.append(documents.where(F.pmod("doc_id", F.lit(4)) == k))
+    before = {r.name: r.rows for r in s.runs()}
+    names = [getattr(r, "name", r) for r in s.plan(s.runs())]
+    assert len(names) >= 2 and set(names) <= set(before)
+    version = max(s.versions())
+    s.compact()
+    assert max(s.versions()) > version and not s.plan(s.runs())
+    assert sum(before[n] for n in names) <= max(r.rows for r in s.runs())
+    assert sum(r.rows for r in s.runs()) == documents.count() and rows(s.read()) == rows(documents)
