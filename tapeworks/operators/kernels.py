@@ -20,15 +20,20 @@ class BookError(ValueError):
 
 
 class PriceBook:
-    """Sizes by price level. ``strict`` raises on what a book can't do, else it is clamped and counted."""
+    """Sizes by price level. ``strict`` raises on what a book can't do, else it is clamped and counted
+    and ``hook(code, text)`` is told. A locked market is counted too, and raises with ``strict_locked``
+    alone. ``max_levels`` of a side; prices outside ``band`` are faults and left out."""
 
-    def __init__(self, strict: bool = True) -> None:
+    def __init__(self, strict: bool = True, strict_locked: bool = False, max_levels: int | None = None, band: tuple[int, int] | None = None, hook=None) -> None:
         self.sides: dict[str, dict[int, int]] = {"BUY": {}, "SELL": {}}
-        self.strict, self.violations = strict, 0
+        self.strict, self.strict_locked, self.max_levels, self.band, self.hook = strict, strict_locked, max_levels, band, hook
+        self.violations = self.crossed = self.locked = self.updates = self.trades = self.traded = 0
 
-    def _fault(self, text: str) -> None:
+    def _fault(self, text: str, code: str = "depth", strict: bool | None = None) -> None:
         self.violations += 1
-        if self.strict:
+        if self.hook is not None:
+            self.hook(code, text)
+        if self.strict if strict is None else strict:
             raise BookError(text)
 
     def _take(self, side: str, price: int, qty: int) -> None:
@@ -37,6 +42,7 @@ class PriceBook:
         if qty > have:
             self._fault(f"{qty} taken of {have} at {price}")
             qty = have
+        self.taken = qty
         if have - qty > 0:
             level[price] = have - qty
         else:
@@ -53,11 +59,18 @@ class PriceBook:
             raise BookError(f"{kind} needs order ids")
         if price is None or qty is None or qty <= 0:
             raise BookError(f"{kind} needs a price and a positive quantity")
+        if self.band is not None and not self.band[0] <= price <= self.band[1]:
+            self._fault(f"price {price} outside {self.band}", "band")
+            return
+        if kind in ("ADD", "SNAPSHOT") and side is not None and price not in self.sides[side] and len(self.sides[side]) == self.max_levels:
+            raise BookError(f"more than {self.max_levels} levels")
+        self.updates += kind != "TRADE"
         if kind == "TRADE":
             if side is None:
-                self._fault("trade without aggressor")
+                self._fault("trade without aggressor", "aggressor")
                 return
             self._take("SELL" if side == "BUY" else "BUY", price, qty)
+            self.trades, self.traded = self.trades + 1, self.traded + self.taken
         elif side is None:
             raise BookError(f"{kind} needs a side")
         elif kind == "ADD":
@@ -69,8 +82,16 @@ class PriceBook:
         else:
             raise BookError(f"unknown event {kind}")
         bid, ask = self.best("BUY"), self.best("SELL")
-        if bid is not None and ask is not None and bid > ask:
-            self._fault(f"crossed: {bid} > {ask}")
+        if bid is not None and ask is not None and bid >= ask:
+            if bid > ask:
+                self.crossed += 1
+                self._fault(f"crossed: {bid} > {ask}", "crossed")
+            else:
+                self.locked += 1
+                if self.strict_locked:
+                    self._fault(f"locked at {bid}", "locked", True)
+                elif self.hook is not None:
+                    self.hook("locked", f"locked at {bid}")
 
     def best(self, side: str) -> int | None:
         level = self.sides[side]
@@ -81,6 +102,15 @@ class PriceBook:
         return [(p, level[p]) for p in sorted(level, reverse=side == "BUY")[:n]]
 
 
+def book_for(tier: str, **options) -> "PriceBook | OrderBook":
+    """The book that data of a tier can keep: by level, or by order; the touch alone keeps none."""
+    if tier == "L2_MBP":
+        return PriceBook(**options)
+    if tier == "L3_MBO":
+        return OrderBook()
+    raise PermissionError(f"{tier} data hold no book")
+
+
 class OrderBook:
     """Orders by id, first in first out at each level."""
 

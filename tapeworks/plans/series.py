@@ -236,7 +236,19 @@ def impact_sqrt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 IMPACT = f"""WITH {M.EXECUTIONS} SELECT run_id, CAST(floor(least(greatest(0.7::DOUBLE * (run_id % 50) * sqrt(filled::DOUBLE / (requested + 100)), 0.5), 20.0)::DOUBLE * 1e6 + 0.5) AS BIGINT) AS impact FROM ex"""
 
+MAX_EVENTS = 50
+
+
+def replay_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first events of each session, as many as a replay with a limit would take."""
+    e = windows.numbered(M.events(spark, sf_dir), ["symbol"], ["t", "seq"])
+    return e.where(F.col("k") < MAX_EVENTS).select("symbol", "k", "seq", "kind", "price", "qty")
+
+
+PREFIX = f"""WITH {M.EVENTS} SELECT symbol, k, seq, kind, price, qty FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t, seq) - 1 AS k FROM ev) WHERE k < {MAX_EVENTS}"""
+
 QUERIES = {
+    "replay_prefix": (replay_prefix, PREFIX),
     "interval_vwap": (interval_vwap, VWAP),
     "interval_twap": (interval_twap, TWAP),
     "arrival_terminal_mid": (arrival_terminal_mid, ARRIVAL),

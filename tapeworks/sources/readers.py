@@ -53,10 +53,11 @@ def normalized_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def messages_csv(spark: SparkSession, path: str, symbol: str, base_ns: int, tick: int = 100) -> DataFrame:
     """Headerless message files: seconds, type, order id, size, price, direction. Types 1 add, 2 and 3
-    cancel, 4 and 5 (hidden) trade, 7 halt; others raise. Files are numbered row by row, in one
-    partition per file, since rows have no other order."""
+    cancel, 4 and 5 (hidden) trade, 7 halt; others raise, and so do rows of another width. Files are
+    numbered row by row, in one partition per file, since rows have no other order; a trade's id is
+    its row's number."""
     columns = "sec decimal(20,9), type int, order_id long, size long, price long, direction int"
-    raw = spark.read.schema(columns).csv(path).withColumn("f", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
+    raw = spark.read.schema(columns).option("mode", "FAILFAST").csv(path).withColumn("f", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
     row = F.row_number().over(Window.partitionBy("f").orderBy("at")) - 1
     kind = (
         F.when(F.col("type") == 1, "ADD")
@@ -77,7 +78,7 @@ def messages_csv(spark: SparkSession, path: str, symbol: str, base_ns: int, tick
         F.rint(F.col("price") / tick).cast("long").alias("price_ticks"),
         F.col("size").alias("quantity_base"),
         F.col("order_id"),
-        F.lit(None).cast("long").alias("trade_id"),
+        F.when(trade, row.cast("long")).alias("trade_id"),
         flags.cast("long").alias("flags"),
         F.lit("messages").alias("source"),
         F.lit(None).cast("long").alias("receive_timestamp_ns"),

@@ -102,3 +102,25 @@ def test_bootstrap():
         mean, low, high = experiments.bootstrap(values, block, 300, 0.95, "x")
         assert low <= mean == sum(values) / 40 <= high
     assert experiments.bootstrap(values, 5, 300, 0.95, "x") == experiments.bootstrap(values, 5, 300, 0.95, "x")
+
+
+def test_book_limits_and_hooks():
+    seen = []
+    b = kernels.book_for("L2_MBP", strict=False, max_levels=2, band=(1, 100), hook=lambda code, text: seen.append(code))
+    b.apply("ADD", "BUY", 10, 5)
+    b.apply("ADD", "SELL", 10, 5)  # locked: a real state
+    b.apply("ADD", "SELL", 9, 5)  # crossed
+    b.apply("ADD", "BUY", 500, 5)  # outside the band
+    b.apply("TRADE", "BUY", 9, 7)  # of 5
+    assert seen[0] == "locked" and "crossed" in seen and "band" in seen and "depth" in seen
+    assert (b.traded, b.trades) == (5, 1) and 500 not in b.sides["BUY"]
+    b.apply("ADD", "BUY", 8, 1)
+    with pytest.raises(kernels.BookError):
+        b.apply("ADD", "BUY", 7, 1)
+    strict = kernels.PriceBook(strict_locked=True)
+    strict.apply("ADD", "BUY", 10, 5)
+    with pytest.raises(kernels.BookError):
+        strict.apply("ADD", "SELL", 10, 5)
+    assert isinstance(kernels.book_for("L3_MBO"), kernels.OrderBook)
+    with pytest.raises(PermissionError):
+        kernels.book_for("L1")
