@@ -100,15 +100,14 @@ def with_next(docs: DataFrame, carried: list[str], doc_id: str = "doc_id") -> Da
     facts = docs.agg(F.min(doc_id).alias("a"), F.max(doc_id).alias("b"), F.count("*").alias("n"), F.percentile_approx(doc_id, shares, 10 * SEGMENTS).alias("q")).first()
     starts = sorted({facts.a or 0, *(facts.q or [])})  # SEGMENTS at most
     per = max(1, -(-facts.n // (len(starts) * BUCKET_ROWS)))
-    bounds, ends = F.array(*[F.lit(x).cast("long") for x in starts]), F.array(*[F.lit(x).cast("long") for x in [*starts[1:], (facts.b or 0) + 1]])
-    segment = F.size(F.filter(bounds, lambda x: x <= F.col(doc_id))) - 1
-
-    def inside(s: Column) -> Column:
-        low, high = F.get(bounds, s), F.get(ends, s)
-        part = F.floor((F.col(doc_id) - low).cast("double") * per / (high - low).cast("double"))
-        return s.cast("long") * per + F.least(part, F.lit(per - 1)).cast("long")
-
-    bucket = F.when(F.col(doc_id).isNull(), F.lit(-1).cast("long")).otherwise(_let(segment, inside))
+    # no lambdas here: with them Spark would not see that all branches below share one shuffle
+    last = (facts.b or 0) + 1
+    bucket = F.lit(None).cast("long")
+    for k, (low, high) in enumerate(zip(starts, [*starts[1:], last])):
+        part = F.floor((F.col(doc_id) - low).cast("double") * per / F.lit(float(high - low)))
+        here = F.lit(k * per) + F.least(part, F.lit(per - 1)).cast("long")
+        bucket = F.when(F.col(doc_id) < high, here) if k == 0 else bucket.when(F.col(doc_id) < high, here)
+    bucket = F.coalesce(bucket, F.lit(-1).cast("long"))
     rows = docs.withColumn("__bucket", bucket)
     by_id = Window.partitionBy("__bucket").orderBy(F.col(doc_id).desc_nulls_last(), *[F.col(c).desc() for c in carried if c in docs.columns])
     columns = {f"next_{c}": F.lead(c).over(by_id) for c in carried}
