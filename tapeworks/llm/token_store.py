@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,9 @@ from tapeworks.llm import _tables, _words
 
 BLOCK = 1 << 16
 
+#: Bytes of text that are cut at a time; the arrays beside them take some 30 times as much.
+SLICE = 1 << 18
+
 STORE = T.StructType(
     [
         T.StructField("part", T.IntegerType()),
@@ -65,7 +69,7 @@ def _letters() -> np.ndarray:
 
 _KIND = _letters()
 #: First bytes of two-byte letters: U+00C0-U+017F and U+0400-U+047F, where all but two are letters.
-_PAIRS = (0xC3, 0xC4, 0xC5, 0xD0, 0xD1)
+_LEADS = np.isin(np.arange(256), (0xC3, 0xC4, 0xC5, 0xD0, 0xD1))
 
 
 class PieceEncoder:
@@ -79,9 +83,7 @@ class PieceEncoder:
     with characters of unknown class are not cut inside.
     """
 
-    SLOTS = 1 << 21
-
-    def __init__(self, path: str, room: int = 1_500_000) -> None:
+    def __init__(self, path: str, room: int = 1_000_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -94,24 +96,53 @@ class PieceEncoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         alphabet = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.alphabet = {chr(b): c for b, c in alphabet.items()} | {"\0": " "}
+        self.alphabet = np.array([ord(alphabet[b]) for b in range(256)], dtype="<u4")
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, k in vocab.items():
             self.opens[k] = token.startswith(alphabet[0x20])
+        self.space = alphabet[0x20]
+        self.space_id = vocab.get(self.space)
         self.room = room
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.slot_key = np.zeros(self.SLOTS, dtype=np.uint64)
-        self.slot_entry = np.zeros(self.SLOTS, dtype=np.int64)
+        self.slot_key = np.zeros(1 << 16, dtype=np.uint64)  # open addressing; keys are odd, 0 is free
+        self.slot_entry = np.zeros(1 << 16, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.begin = np.zeros(1 << 14, dtype=np.int64)
         self.size = np.zeros(1 << 14, dtype=np.int64)
-        self.used = 0
+        self.known = self.used = 0
 
-    def _append(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        k, n = len(self.known), len(sizes)
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the keys, and where in ``keys`` those without one are."""
+        mask = len(self.slot_key) - 1
+        slot = (keys >> np.uint64(20)).astype(np.int64) & mask
+        entry = self.slot_entry[slot]
+        left = np.flatnonzero(self.slot_key[slot] != keys)
+        new = []
+        while len(left):
+            free = self.slot_key[slot[left]] == 0
+            new.append(left[free])
+            left = left[~free]
+            slot[left] = slot[left] + 1 & mask
+            entry[left] = self.slot_entry[slot[left]]
+            left = left[self.slot_key[slot[left]] != keys[left]]
+        return entry, np.concatenate(new) if new else left
+
+    def _place(self, keys: np.ndarray, entry: np.ndarray) -> None:
+        """Slots for distinct keys that have none."""
+        mask = len(self.slot_key) - 1
+        slot = (keys >> np.uint64(20)).astype(np.int64) & mask
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.slot_key[slot[left]] == 0]
+            self.slot_key[slot[free]] = keys[free]  # of several for one slot the last stays
+            left = left[self.slot_key[slot[left]] != keys[left]]
+            slot[left] = slot[left] + 1 & mask
+        self.slot_entry[slot] = entry
+
+    def _append(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        k, n = self.known, len(sizes)
         while k + n > len(self.begin):
             self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
         while self.used + len(ids) > len(self.ids):
@@ -120,24 +151,47 @@ class PieceEncoder:
         self.size[k : k + n] = sizes
         self.begin[k : k + n] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
-        self.known.update(zip(keys, range(k, k + n)))
-
-    def _learn(self, raw: bytes, keys: np.ndarray, first: np.ndarray, last: np.ndarray, pure: np.ndarray) -> None:
-        if pure.any():
-            some = zip(first[pure].tolist(), last[pure].tolist())
-            line = b"\0".join([raw[a:b] for a, b in some]).decode("latin-1").translate(str.maketrans(self.alphabet))
-            ids = np.array(self.runs.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            sizes = np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
-            self._append(keys[pure].tolist(), ids, sizes)
-        rest = ~pure
+        self.known += n
+        if 2 * self.known > len(self.slot_key):
+            held = np.flatnonzero(self.slot_key)
+            old_keys, old_entry = self.slot_key[held], self.slot_entry[held]
+            room = 1 << (2 * self.known).bit_length()
+            self.slot_key, self.slot_entry = np.zeros(room, dtype=np.uint64), np.zeros(room, dtype=np.int32)
+            self._place(old_keys, old_entry)
+        self._place(keys, np.arange(k, k + n, dtype=np.int32))
+
+    def _line(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, between: str) -> np.ndarray:
+        """Ids of slices of the data, in the BPE's alphabet and with ``between`` after each, as the model gives them."""
+        between = np.frombuffer(between.encode("utf-32-le"), dtype="<u4")
+        size = last - first + len(between)
+        ends = np.cumsum(size)
+        at = np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]))
+        line = self.alphabet[data[np.minimum(at, len(data) - 1)]]
+        for k, c in enumerate(between):
+            line[ends - len(between) + k] = c
+        found = self.runs.encode_batch_fast([line.tobytes().decode("utf-32-le")], add_special_tokens=False)
+        return np.array(found[0].ids, dtype=np.uint32)
+
+    def _learn(self, data: np.ndarray, keys: np.ndarray, first: np.ndarray, last: np.ndarray, strange: np.ndarray) -> None:
+        """strange: how many bytes are not of letters."""
+        spaced = (data[first] == 0x20) & (strange == 1) & (last - first > 1)
+        bare = (strange == 0) & (self.space_id is not None)
+        if spaced.any():
+            ids = self._line(data, first[spaced], last[spaced], " ")
+            self._append(keys[spaced], ids, np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids))))
+        if bare.any():  # a lone space after each, which is in no token of letters
+            ids = self._line(data, first[bare], last[bare], f" {self.space} ")
+            ends = np.flatnonzero(ids == self.space_id)
+            self._append(keys[bare], np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
+        rest = ~(spaced | bare)
         if rest.any():
-            some = zip(first[rest].tolist(), last[rest].tolist())
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in some], add_special_tokens=False)]
-            self._append(keys[rest].tolist(), np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found]))
+            some = [data[a:b].tobytes().decode() for a, b in zip(first[rest].tolist(), last[rest].tolist())]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self._append(keys[rest], np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found]))
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has."""
-        if len(self.known) > self.room:
+        if self.known > self.room:
             self._reset()
         data, offsets = _words.buffers(texts)
         n_texts = len(offsets) - 1
@@ -146,21 +200,12 @@ class PieceEncoder:
         first, odd = self._cut(data, offsets)
         last = np.append(first[1:], len(data))
         keys = _words.hash_slices(data, first, last) | np.uint64(1)
-        slot = (keys >> np.uint64(20)).astype(np.int64) & (self.SLOTS - 1)
-        entry = self.slot_entry[slot]
-        miss = np.flatnonzero(self.slot_key[slot] != keys)
+        entry, miss = self._find(keys)
         if len(miss):
-            distinct, where, of = np.unique(keys[miss], return_index=True, return_inverse=True)
-            at = miss[where]
-            new = np.flatnonzero(np.fromiter((k not in self.known for k in distinct.tolist()), dtype=bool, count=len(distinct)))
-            a, b = first[at[new]], last[at[new]]
-            strange = odd[b] - odd[a]
-            spaced = data[a] == 0x20
-            self._learn(data.tobytes(), distinct[new], a, b, (strange == 1) & spaced & (b - a > 1))
-            found = np.fromiter((self.known[k] for k in distinct.tolist()), dtype=np.int64, count=len(distinct))
-            entry[miss] = found[of]
-            self.slot_key[slot[at]] = distinct
-            self.slot_entry[slot[at]] = found
+            distinct, where = np.unique(keys[miss], return_index=True)
+            a, b = first[miss[where]], last[miss[where]]
+            self._learn(data, distinct, a, b, np.searchsorted(odd, b) - np.searchsorted(odd, a))
+            entry[miss] = self._find(keys[miss])[0]
         sizes = self.size[entry]
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.begin[entry] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
@@ -169,10 +214,10 @@ class PieceEncoder:
 
     @staticmethod
     def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First bytes of the pieces; and how many bytes before each are not of letters."""
+        """First bytes of the pieces; and the bytes that are not of letters."""
         n = len(data)
         kind = _KIND[data]
-        lead = np.flatnonzero(np.isin(data[:-1], _PAIRS))
+        lead = np.flatnonzero(_LEADS[data[:-1]])
         lead = lead[~((data[lead] == 0xC3) & ((data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7)))]
         kind[lead] = kind[lead + 1] = 1
         cut = np.zeros(n + 1, dtype=bool)
@@ -193,15 +238,12 @@ class PieceEncoder:
             stops = np.append(at, n)
             right = stops[np.searchsorted(stops, marks, side="right")]
             left = np.append(0, at)[np.searchsorted(at, marks, side="right")]
-            depth = np.zeros(n + 2, dtype=np.int64)
-            np.add.at(depth, left + 1, 1)
-            np.add.at(depth, right, -1)
-            cut &= np.cumsum(depth)[: n + 1] <= 0
+            held = np.flatnonzero(cut[:n])
+            near = np.searchsorted(left, held) - 1  # of the marks that begin before, the last reaches furthest
+            cut[held[(near >= 0) & (right[near] > held)]] = False
         starts = offsets[:-1][offsets[1:] > offsets[:-1]]
         cut[starts] = True
-        odd = np.zeros(n + 1, dtype=np.int64)
-        np.cumsum(kind != 1, out=odd[1:])
-        return np.flatnonzero(cut[:n]), odd
+        return np.flatnonzero(cut[:n]), np.flatnonzero(kind != 1)
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -283,11 +325,12 @@ def write_tokens(
     ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start a thread for each of the machine
         encoder = PieceEncoder(file)
 
         def stream():
             for batch in batches:
-                for piece in _words.pieces(batch, "text"):
+                for piece in _words.pieces(batch, "text", SLICE):
                     ids, counts = encoder.texts(piece.column(1))
                     cuts = np.cumsum(counts)
                     ids = np.insert(ids, cuts, np.uint32(end_id))

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -35,6 +36,43 @@ def test_pieces_of_any_text(encoder, texts):
     assert counts.tolist() == [len(plain(encoder, t)) for t in texts]
 
 
+def many(n):
+    """Texts of n distinct words, each after a line end, after a space, before a stop and alone."""
+    words = ["".join("etaoinshrd"[int(c)] for c in str(k)) for k in range(n)]
+    return [f"{w} {w}.{w}\n{w}" for w in words]
+
+
+def test_ids_when_the_table_grows_and_begins_anew():
+    encoder = token_store.PieceEncoder(token_store.default_tokenizer(), room=5_000)
+    texts, sizes = many(60_000), set()
+    for k in range(0, len(texts), 20_000):
+        some = texts[k : k + 20_000] + texts[:50]
+        ids, counts = encoder.texts(pa.array(some))
+        want = [e.ids for e in encoder.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        assert counts.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
+        sizes.add(len(encoder.slot_key))
+    assert max(sizes) > 1 << 16
+
+
+def test_apostrophes_hold_their_piece_together(encoder):
+    texts = ["a b'c d'e' f g", "'a b c' d\n'e f", "12'b 'c'd' e-f 'g", "x 'y z' w"] * 3
+    ids, counts = encoder.texts(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in plain(encoder, t)]
+
+
+def test_memory_of_known_pieces():
+    """The pieces of a task take little beside the tokenizer: an executor has several such tasks."""
+    encoder = token_store.PieceEncoder(token_store.default_tokenizer())
+    tracemalloc.start()
+    encoder._reset()
+    for k in range(0, 50_000, 5_000):
+        encoder.texts(pa.array(many(50_000)[k : k + 5_000]))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 20e6
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_round_trip(kind):
     for n in (1, 7, 8, 1000):
