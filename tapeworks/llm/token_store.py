@@ -2,9 +2,10 @@
 
 One row of the store's Parquet files is one block of a writing task's id stream. ``planes``
 holds the block's planes, each compressed alone (plane p of byte planes: byte p of every id;
-of bit planes: bit p of every id, packed). Beside them stands the chunk index: which
-documents have ids in the block, where, and how many ids each has in all. Parquet's own
-compression is off; its commit protocol makes the write whole or absent.
+of bit planes: bit p of every id, packed). Beside them stands the chunk index: how many of the
+stream's ids are in blocks before, which documents have ids in the block, where, and how many
+ids each has in all. Parquet's own compression is off; its commit protocol makes the write whole
+or absent.
 
 Documents are dealt by ranges of doc_id and sorted, so ids lie in ascending doc_id order by
 (part, block); a document's global start is the sum of the parts before its own, which are as
@@ -38,6 +39,7 @@ STORE = T.StructType(
     [
         T.StructField("part", T.IntegerType()),
         T.StructField("block", T.LongType()),
+        T.StructField("before", T.LongType()),
         T.StructField("n_ids", T.IntegerType()),
         T.StructField("bits", T.IntegerType()),
         T.StructField("planes", T.ArrayType(T.BinaryType())),
@@ -73,7 +75,8 @@ _LEADS = np.isin(np.arange(256), (0xC3, 0xC4, 0xC5, 0xD0, 0xD1))
 
 
 class PieceEncoder:
-    """A byte-level BPE of the tokenizers library, applied once per distinct piece of text.
+    """A byte-level BPE of the tokenizers library, applied once per distinct piece of text
+    (and again where over ``room`` pieces were known, which are then dropped).
 
     The pre-tokenizer of such a BPE begins a token at a single space or line end between
     other characters and at every change between letters, digits and signs, and looks no
@@ -83,7 +86,7 @@ class PieceEncoder:
     with characters of unknown class are not cut inside.
     """
 
-    def __init__(self, path: str, room: int = 1_000_000) -> None:
+    def __init__(self, path: str, room: int = 500_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -107,10 +110,8 @@ class PieceEncoder:
 
     def _reset(self) -> None:
         self.slot_key = np.zeros(1 << 16, dtype=np.uint64)  # open addressing; keys are odd, 0 is free
-        self.slot_entry = np.zeros(1 << 16, dtype=np.int32)
+        self.slot_entry = np.zeros(1 << 16, dtype=np.int64)  # where the piece's ids begin, by 2^32, and how many
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.begin = np.zeros(1 << 14, dtype=np.int64)
-        self.size = np.zeros(1 << 14, dtype=np.int64)
         self.known = self.used = 0
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,23 +143,19 @@ class PieceEncoder:
         self.slot_entry[slot] = entry
 
     def _append(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        k, n = self.known, len(sizes)
-        while k + n > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.size[k : k + n] = sizes
-        self.begin[k : k + n] = self.used + np.cumsum(sizes) - sizes
+        entry = (self.used + np.cumsum(sizes) - sizes) << 32 | sizes
         self.used += len(ids)
-        self.known += n
+        self.known += len(sizes)
         if 2 * self.known > len(self.slot_key):
             held = np.flatnonzero(self.slot_key)
             old_keys, old_entry = self.slot_key[held], self.slot_entry[held]
             room = 1 << (2 * self.known).bit_length()
-            self.slot_key, self.slot_entry = np.zeros(room, dtype=np.uint64), np.zeros(room, dtype=np.int32)
+            self.slot_key, self.slot_entry = np.zeros(room, dtype=np.uint64), np.zeros(room, dtype=np.int64)
             self._place(old_keys, old_entry)
-        self._place(keys, np.arange(k, k + n, dtype=np.int32))
+        self._place(keys, entry)
 
     def _line(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, between: str) -> np.ndarray:
         """Ids of slices of the data, in the BPE's alphabet and with ``between`` after each, as the model gives them."""
@@ -204,17 +201,17 @@ class PieceEncoder:
         if len(miss):
             distinct, where = np.unique(keys[miss], return_index=True)
             a, b = first[miss[where]], last[miss[where]]
-            self._learn(data, distinct, a, b, np.searchsorted(odd, b) - np.searchsorted(odd, a))
+            self._learn(data, distinct, a, b, odd[b] - odd[a])
             entry[miss] = self._find(keys[miss])[0]
-        sizes = self.size[entry]
+        sizes = entry & 0xFFFFFFFF
         ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.begin[entry] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
+        ids = self.ids[np.repeat((entry >> 32) - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
         upto = np.append(0, ends)[np.searchsorted(first, offsets)]
         return ids, np.diff(upto)
 
     @staticmethod
     def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First bytes of the pieces; and the bytes that are not of letters."""
+        """First bytes of the pieces; and how many bytes before each are not of letters."""
         n = len(data)
         kind = _KIND[data]
         lead = np.flatnonzero(_LEADS[data[:-1]])
@@ -243,7 +240,15 @@ class PieceEncoder:
             cut[held[(near >= 0) & (right[near] > held)]] = False
         starts = offsets[:-1][offsets[1:] > offsets[:-1]]
         cut[starts] = True
-        return np.flatnonzero(cut[:n]), np.flatnonzero(kind != 1)
+        odd = np.zeros(n + 1, dtype=np.int32)
+        np.cumsum(kind != 1, out=odd[1:])
+        return np.flatnonzero(cut[:n]), odd
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> PieceEncoder:
+    """A worker's encoder: its next task finds the pieces known to the last."""
+    return PieceEncoder(path)
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -284,7 +289,7 @@ def _blocks(stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], part: i
         begin = np.maximum(start[here] - done, 0)
         length = np.minimum(start[here] + count[here] - done, n) - begin
         planes = [packer.compress(p) for p in to_planes(ids[:n], kind)]
-        row = (part, block, n, 8 if kind == "byte" else 1, planes, *docs[:, here], begin, length)
+        row = (part, block, done, n, 8 if kind == "byte" else 1, planes, *docs[:, here], begin, length)
         held = [docs[:, start + count > done + n]]
         block, done, ids = block + 1, done + n, ids[n:]
         columns = [pa.array([v if not isinstance(v, np.ndarray) else v.tolist()], type=t) for v, t in zip(row, _ARROW)]
@@ -302,7 +307,7 @@ def _blocks(stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], part: i
 
 
 _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
-_ARROW = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), _LONGS, _LONGS, _LONGS, _LONGS, _INTS, _INTS]
+_ARROW = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), _LONGS, _LONGS, _LONGS, _LONGS, _INTS, _INTS]
 
 #: Stands for a null doc_id inside the blocks.
 NO_ID = -(1 << 63)
@@ -326,7 +331,7 @@ def write_tokens(
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start a thread for each of the machine
-        encoder = PieceEncoder(file)
+        encoder = _encoder(file)
 
         def stream():
             for batch in batches:
@@ -364,25 +369,24 @@ def _times(matrix: tuple[int, ...], vector: int) -> int:
     return out
 
 
-@functools.lru_cache(maxsize=4096)
-def _shift(length: int) -> tuple[int, ...]:
-    """What ``length`` zero bytes do to a crc32, as a matrix of bits; blocks have few lengths."""
-    step = (0xEDB88320, *(1 << k for k in range(31)))  # one zero bit
-    for _ in range(3):
-        step = tuple(_times(step, row) for row in step)  # one zero byte
-    out = tuple(1 << k for k in range(32))
-    while length:
-        if length & 1:
-            out = tuple(_times(step, row) for row in out)
-        length >>= 1
-        if length:
-            step = tuple(_times(step, row) for row in step)
-    return out
+@functools.cache
+def _zeros(power: int) -> tuple[int, ...]:
+    """What 2^power zero bytes do to a crc32, as a matrix of bits."""
+    step = (0xEDB88320, *(1 << k for k in range(31))) if power == 0 else _zeros(power - 1)  # one zero bit at first
+    for _ in range(3 if power == 0 else 1):
+        step = tuple(_times(step, row) for row in step)
+    return step
 
 
 def crc_joined(first: int, second: int, length: int) -> int:
     """crc32 of a + b from crc32(a), crc32(b) and len(b): shift a's by len(b) zero bytes."""
-    return _times(_shift(length), first) ^ second
+    power = 0
+    while length:
+        if length & 1:
+            first = _times(_zeros(power), first)
+        length >>= 1
+        power += 1
+    return first ^ second
 
 
 _PIECES = T.StructType(
@@ -392,48 +396,40 @@ _PIECES = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("doc_start", T.LongType()),
         T.StructField("doc_n", T.LongType()),
-        T.StructField("block", T.LongType()),
-        T.StructField("length", T.LongType()),
         T.StructField("crc", T.LongType()),
     ]
 )
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32.
+
+    A document's crc is the exclusive or of its pieces' crcs, each shifted by the document's bytes after it."""
     store = read_ids(spark, path)
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                raw = memoryview(np.ascontiguousarray(decode(row["planes"], row["n_ids"])).view(np.uint8))
-                crc = [zlib.crc32(raw[4 * b : 4 * (b + n)]) for b, n in zip(row["begin"], row["length"])]
-                k = len(crc)
-                columns = [[row["part"]] * k, row["doc_row"], [None if d == NO_ID else d for d in row["doc_id"]], row["doc_start"], row["doc_n"], [row["block"]] * k, row["length"], crc]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(columns)], names=_PIECES.names)
+            for k in range(batch.num_rows):  # one at a time, as planes are large
+                row = {name: batch.column(i)[k] for i, name in enumerate(STORE.names)}
+                part, before, n = (row[c].as_py() for c in ("part", "before", "n_ids"))
+                doc_id, doc_row, start, count, begin, length = (
+                    row[c].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "doc_row", "doc_start", "doc_n", "begin", "length")
+                )
+                raw = memoryview(decode(row["planes"].as_py(), n).view(np.uint8))
+                after = start + count - (before + begin + length)
+                ends = begin + length
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), ends.tolist())]
+                for i in np.flatnonzero(after).tolist():
+                    crc[i] = crc_joined(crc[i], 0, 4 * int(after[i]))
+                columns = [pa.array(np.full(len(crc), part, dtype=np.int32)), doc_row, pa.array(doc_id, mask=doc_id == NO_ID), start, count, np.array(crc, dtype=np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=_PIECES.names)
 
     parts = store.mapInArrow(_tables.lean(run), _PIECES)
-    whole = parts.where(F.col("length") == F.col("doc_n")).select("part", "doc_id", "doc_start", "doc_n", "crc")
-
-    @F.udf("long")
-    def joined(pieces):
-        crc = 0
-        for p in pieces:
-            crc = crc_joined(crc, p["crc"], 4 * p["length"])
-        return crc
-
-    split = (
-        parts.where(F.col("length") < F.col("doc_n"))
-        .groupBy("part", "doc_row")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("doc_start").alias("doc_start"), F.first("doc_n").alias("doc_n"), F.sort_array(F.collect_list(F.struct("block", "length", "crc"))).alias("pieces"))
-        .select("part", "doc_id", "doc_start", "doc_n", joined("pieces").alias("crc"))
-    )
+    whole = parts.groupBy("part", "doc_row").agg(*[F.first(c).alias(c) for c in ("doc_id", "doc_start", "doc_n")], F.bit_xor("crc").alias("crc"))
     totals = store.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return (
-        whole.unionByName(split)
-        .join(F.broadcast(before), "part")  # a row for each writing task
-        .select("doc_id", (F.col("before") + F.col("doc_start")).alias("start"), F.col("doc_n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    return whole.join(F.broadcast(before), "part").select(  # a row for each writing task
+        "doc_id", (F.col("before") + F.col("doc_start")).alias("start"), F.col("doc_n").alias("n_tokens"), F.col("crc").alias("ids_crc32")
     )
 
 

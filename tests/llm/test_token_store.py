@@ -73,6 +73,15 @@ def test_memory_of_known_pieces():
     assert held < 20e6
 
 
+def test_tasks_of_a_worker_share_the_pieces():
+    file = token_store.default_tokenizer()
+    encoder = token_store._encoder(file)
+    ids, _ = encoder.texts(pa.array(many(2_000)))
+    known = encoder.known
+    again, _ = token_store._encoder(file).texts(pa.array(many(2_000)))
+    assert known == token_store._encoder(file).known and (ids == again).all()
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_round_trip(kind):
     for n in (1, 7, 8, 1000):
@@ -91,6 +100,21 @@ def test_crc_joined():
     assert token_store.crc_joined(zlib.crc32(a), 0, 0) == zlib.crc32(a)
 
 
+def test_crc_joined_of_many_lengths_is_cheap(monkeypatch):
+    calls, times = [], token_store._times
+    token_store.crc_joined(1, 0, (1 << 24) - 1)
+    monkeypatch.setattr(token_store, "_times", lambda *a: calls.append(1) or times(*a))
+    for n in range(1_000_000, 1_000_100):
+        token_store.crc_joined(5, 0, 4 * n)
+    assert len(calls) <= 100 * 24
+
+
+def test_blocks_are_decoded_once(spark, documents):
+    path = token_store.write_tokens(documents, _tables.fresh_path(spark, "t"))
+    plan = token_store.digests(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def expected(encoder, rows):
     out, start = [], 0
     for doc_id, text in rows:
