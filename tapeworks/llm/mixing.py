@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,7 +81,9 @@ def mix(
 
     # a row per named source and one for the rest; a table, since a small source with a real weight
     # has as many steps as copies of each document
-    steps = docs.sparkSession.createDataFrame([(k, poisson_cdf(rate)) for k, rate in by_source.items()], "__pool string, __steps array<double>")
+    # (an Arrow table, which the JVM reads: rows would start a second set of Python workers on each executor)
+    found = [pa.array(list(by_source), pa.string()), pa.array([list(poisson_cdf(rate)) for rate in by_source.values()], pa.list_(pa.float64()))]
+    steps = docs.sparkSession.createDataFrame(pa.table(found, names=["__pool", "__steps"]))
     named = [k for k in by_source if k is not None]
     pool = F.when(F.col(source).isin(named), F.col(source)) if named else F.lit(None).cast("string")
     counts = F.size(F.filter(F.coalesce("__steps", F.array().cast("array<double>")), lambda t: t <= u))

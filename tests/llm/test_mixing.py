@@ -59,3 +59,12 @@ def test_nulls_repeats_clashes_and_empty(spark, frame):
     for wrong in ({"weights": {"a": -1.0}}, {"weights": {}, "other": 0.0}, {"weights": {"a": 1.0}, "unit": "bytes"}):
         with pytest.raises(ValueError):
             M.mix(docs, **wrong)
+
+
+def test_no_python_on_executors(documents):
+    """Workers that only read the steps would keep their memory through the pipeline's next stage."""
+    plan = M.mix(documents, M.WEIGHTS, M.OTHER)._jdf.queryExecution()
+    leaves = plan.optimizedPlan().collectLeaves()
+    logical = [leaves.apply(k) for k in range(leaves.size())]
+    rdds = [x.rdd().toDebugString() for x in logical if x.nodeName().startswith("LogicalRDD")]
+    assert not any("PythonRDD" in r for r in rdds)
