@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeworks.llm import _words
@@ -78,6 +79,16 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def release_memory(spark: SparkSession) -> None:
+    """release_shuffles(), and executors collect their garbage too: a JVM's heap grows with each step
+    and gives nothing back before a full collection, which rows that die young never bring about.
+    A task for each core; an executor that gets none keeps what it has."""
+    release_shuffles(spark)
+    if not spark.sparkContext._jsc.sc().isLocal():
+        n = spark.sparkContext.defaultParallelism
+        spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).collect()  # n rows
+
+
 #: Rows of an Arrow batch: texts may be long, and a batch is held several times over.
 BATCH_ROWS = "2000"
 

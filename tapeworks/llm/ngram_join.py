@@ -183,19 +183,18 @@ class _Chosen:
         self.both = self.ids = None
         if self.sparse:
             send = docs.sparkSession.sparkContext.broadcast
-            self.both = send(repeats._bloom(self._hashes("key", "doc_id"), self.bits))
-            self.ids = send(repeats._bloom(self._hashes("doc_id"), self.bits)) if ids_too else None
+            self.both = send(self._filter("key", "doc_id"))
+            self.ids = send(self._filter("doc_id")) if ids_too else None
 
-    def _hashes(self, *names: str) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                ids = _ids(batch.column(batch.num_columns - 1))
-                raw = np.zeros((len(ids), 2), dtype=np.uint64)
-                if batch.num_columns == 2:
-                    raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(_bloom_keys(raw, ids).view(np.int64))], names=["hash"])
+    def _filter(self, *names: str) -> np.ndarray:
+        def hashes(batch: pa.RecordBatch) -> np.ndarray:
+            ids = _ids(batch.column(batch.num_columns - 1))
+            raw = np.zeros((len(ids), 2), dtype=np.uint64)
+            if batch.num_columns == 2:
+                raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+            return _bloom_keys(raw, ids)
 
-        return self.wanted.select(*names).mapInArrow(_tables.lean(run), "hash long")
+        return repeats._bloom(self.wanted.select(*names), self.bits, hashes)
 
     def source(self) -> DataFrame:
         if self.sparse:
@@ -345,12 +344,8 @@ def _of_keys(sig: DataFrame, keys: DataFrame, bloom_bits: int) -> tuple[DataFram
     if n * 10 > 1 << bloom_bits:
         return sig.join(keys, "key", "left_semi"), None
 
-    def hashes(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(hashed(batch).view(np.int64))], names=["hash"])
-
     bits = repeats.sized(n, bloom_bits)
-    known = sig.sparkSession.sparkContext.broadcast(repeats._bloom(keys.mapInArrow(_tables.lean(hashes), "hash long"), bits))
+    known = sig.sparkSession.sparkContext.broadcast(repeats._bloom(keys, bits, hashed))
 
     def run(batches):
         for batch in batches:
@@ -402,7 +397,7 @@ def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, te
     chosen.close()
     _tables.trim()
     live = _live_rows(sig, percent, bloom_bits)
-    _tables.release_shuffles(spark)
+    _tables.release_memory(spark)
     labels = links = done = None
 
     def labelled() -> DataFrame:
@@ -430,7 +425,7 @@ def jaccard_classes(docs: DataFrame, shingle: int, percent: int, rounds: int, te
         done = pairs if done is None else done.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        _tables.release_shuffles(spark)
+        _tables.release_memory(spark)
 
     for _ in range(rounds):
         now = labelled()

@@ -85,13 +85,14 @@ def _in_bloom(hashes: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _bloom(shared: DataFrame, bits: int) -> np.ndarray:
-    """The filter of all shared anchors: 2^bits bits, or-ed by word in the cluster."""
+def _bloom(shared: DataFrame, bits: int, hashes=lambda batch: batch.column(0).to_numpy().view(np.uint64)) -> np.ndarray:
+    """The filter of all shared anchors: 2^bits bits, or-ed by word in the cluster. ``hashes`` has those
+    of a batch; found here, they need no second Python worker in the task."""
     schema = "word long, bit long"
 
     def run(batches):
         for batch in batches:
-            slots = np.unique(np.concatenate(_slots(batch.column(0).to_numpy().view(np.uint64), bits)))
+            slots = np.unique(np.concatenate(_slots(hashes(batch), bits)))
             word = (slots >> np.uint64(6)).astype(np.int64)
             first = np.flatnonzero(np.append(True, np.diff(word) > 0)) if len(word) else np.zeros(0, dtype=np.int64)
             ored = np.bitwise_or.reduceat(np.uint64(1) << (slots & np.uint64(63)), first) if len(word) else slots
