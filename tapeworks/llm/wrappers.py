@@ -23,6 +23,7 @@ import html as _html
 import re
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +48,6 @@ OUT_WORDS = frozenset(
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])(?:[^>]*>|[^>]*\Z)", re.S)
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
-_SPACE = re.compile(r"\s+")
 
 
 class Node:
@@ -121,7 +121,7 @@ def parse(text: str) -> Node:
 
 
 def _clean(parts: list[str]) -> str:
-    return _SPACE.sub(" ", _html.unescape("".join(parts))).strip()
+    return " ".join(_html.unescape("".join(parts)).split())
 
 
 def blocks(node: Node, keep=lambda child: not child.out) -> list[tuple[str, Node]]:
@@ -359,6 +359,8 @@ def extract(text: str | None, wrappers: list[tuple[frozenset, list[list]]]) -> s
     if found:
         part = Node("#")
         part.parts = list(found)
+    if not wrappers:  # nothing is constant here
+        return "\n".join(t for t, _ in blocks(part))
     tree, keys, _ = skeleton(part)
     constant: set[int] = set()
     for common, trees in wrappers:
@@ -406,24 +408,34 @@ def _facts(batches):
 def wrappers(pages: DataFrame) -> DataFrame:
     """Of pages (host, html) each group's constants: keys that are on more than half of a page's
     fellows, and for each key the richest page that holds it (group, constants, trees)."""
-    facts = pages.mapInArrow(_tables.lean(_facts), "groups array<long>, voter long, keys array<long>, tree string, least array<int>")
-    facts = facts.select(F.explode(F.arrays_zip("groups", "least")).alias("g"), "voter", "keys", "tree").select(F.col("g.groups").alias("grp"), F.col("g.least").alias("least"), "voter", "keys", "tree")
-    facts = _tables.stored(facts, "wrapper-votes")
+    voted = _tables.stored(pages.mapInArrow(_tables.lean(_facts), "groups array<long>, voter long, keys array<long>, tree string, least array<int>"), "wrapper-votes")
+    _tables.release_memory(pages.sparkSession)
+    facts = voted.select(F.explode(F.arrays_zip("groups", "least")).alias("g"), "voter", "keys", "tree").select(F.col("g.groups").alias("grp"), F.col("g.least").alias("least"), "voter", "keys", "tree")
     votes = facts.groupBy("grp", "voter").agg(F.max("least").alias("least"), F.max("keys").alias("keys"))
     size = votes.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
     held = votes.select("grp", "least", F.struct(F.size("keys").alias("n"), "voter").alias("by"), F.explode("keys").alias("key"))
     counted = held.groupBy("grp", "key").agg(F.count("*").alias("n"), F.max("least").alias("least"), F.max("by").alias("by")).where("n >= least AND n > 1")
-    common = _tables.stored(counted.join(size, "grp").where("2 * (n - 1) > size - 1").select("grp", "key", F.col("by.voter").alias("voter")), "wrapper-keys")
+    chosen = counted.join(size, "grp").where("2 * (n - 1) > size - 1").select("grp", "key", F.col("by.voter").alias("voter")).persist(StorageLevel.DISK_ONLY)
+    chosen.count()  # so that heaps are given back between the sorts and the files
+    _tables.release_memory(pages.sparkSession)
+    common = _tables.stored(chosen, "wrapper-keys")
+    chosen.unpersist()
     best = facts.join(common.select("grp", "voter").distinct(), ["grp", "voter"]).groupBy("grp", "voter").agg(F.min("tree").alias("tree"))
     trees = best.groupBy("grp").agg(F.sort_array(F.collect_list("tree")).alias("trees"))
-    return _tables.stored(common.groupBy("grp").agg(F.sort_array(F.collect_list("key")).alias("constants")).join(trees, "grp"), "wrappers")
+    out = _tables.stored(common.groupBy("grp").agg(F.sort_array(F.collect_list("key")).alias("constants")).join(trees, "grp"), "wrappers")
+    _tables.discard(voted, common)
+    return out
 
 
 @_tables.shielded()
 def main_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """All columns, with ``text`` and ``n_chars``."""
+    """All columns, with ``text`` and ``n_chars``. Executors give their heaps back before files
+    are written: where Hadoop starts a child process for each new file (chmod on local disks), the
+    child shares the JVM's memory for a moment, and all of it may be counted twice."""
+    _tables.release_memory(pages.sparkSession)
     named = pages.withColumn("__host", host(F.col(url)))
     found = wrappers(named.where((F.col("__host") != "") & F.col(html).isNotNull()).select("__host", F.col(html).alias("h")))
+    _tables.release_memory(pages.sparkSession)
 
     def place():
         def kernel(part: pa.RecordBatch) -> dict:

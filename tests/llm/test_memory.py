@@ -62,3 +62,26 @@ def test_one_python_worker_a_task(spark, frame, monkeypatch):
     got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(frame(texts)).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3}
     assert seen and not any(seen)
+
+
+WRAPPERS = CLUSTER.replace("import corpus_pipeline", "from tapeworks.llm import wrappers").replace("documents.parquet", "pages.parquet")
+WRAPPERS = WRAPPERS.replace('dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, sys.argv[2])', "wrappers.main_text(docs)")
+
+
+def test_main_text_gives_heaps_back(sf, tmp_path):
+    """Before the last pass, which writes as many files as it has tasks, heaps are small again and
+    of what was stored only the wrappers are left."""
+    home, shared = tmp_path / "home", tmp_path / "shared"
+    home.mkdir()
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    env = os.environ | {"SPARK_HOME": str(home), "PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_IP": "127.0.0.1"}
+    env.pop("PYSPARK_GATEWAY_PORT", None)
+    assert "wrappers.main_text(docs)" in WRAPPERS
+    run = subprocess.run([sys.executable, "-c", WRAPPERS, str(shared), sf], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    said = [x.split()[1:] for x in run.stdout.splitlines() if x.startswith("MB ")]
+    assert said, run.stderr[-2000:]
+    before, after = map(int, said[0])
+    assert after < before  # else the steps add half as much again
+    assert [p.name[:-33] for p in shared.glob("*/") if "-" in p.name and p.name.startswith("wrapper")] == ["wrappers"]
